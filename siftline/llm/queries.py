@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import digests, format_windows
+from .mixing import plan_mix
 from .quality import quality_rules
+from .sharding import kd_shards
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +56,48 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   words_left, n_lines_removed
 from m
 """
+
+
+@query
+def op4_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = r"\### Assistant: </turn> ok"
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text")
+    )
+    return digests(format_windows(rows.unionByName(more)))
+
+
+ORACLES["op4_budgeted_windows"] = r"""
+with src as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+tok as (select *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 as tokens,
+  18 - 4 + length(role) + length(text) + len(regexp_extract_all(role, '[\\#<]')) + len(regexp_extract_all(text, '[\\#<]')) as chars from src),
+pre as (select *, row_number() over w - 1 as seq, coalesce(sum(tokens) over (w rows between unbounded preceding and 1 preceding), 0) as at0
+  from tok window w as (partition by conv_id order by turn nulls first, role, text)),
+sys as (select conv_id, tokens as st, chars as sc from pre where seq = 0 and role = 'system'),
+said as (select p.*, at0 - coalesce(st, 0) as pos, greatest(1, 2048 - 256 - coalesce(st, 0)) as room
+  from pre p left join sys on p.conv_id is not distinct from sys.conv_id where not (seq = 0 and role = 'system')),
+win as (select *, pos // room + (pos + tokens - 1) // room as win from said),
+heads as (select conv_id, win, min(pos) as w_at from win group by 1, 2),
+parts as (select conv_id, win, chars from win
+  union all select h.conv_id, h.win, t.chars from heads h join win t on t.conv_id is not distinct from h.conv_id and t.pos + t.tokens <= h.w_at and t.pos >= h.w_at - 256
+  union all select s.conv_id, coalesce(h.win, 0), sc from sys s left join heads h on h.conv_id is not distinct from s.conv_id),
+sizes as (select conv_id, cast(sum(chars) as bigint) as formatted_chars, count(distinct win) as n_windows from parts group by 1),
+said2 as (select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by seq)) as turns_sha256,
+  coalesce(string_agg(text, '' order by seq) filter (where role = 'assistant'), '') as loss from pre group by 1)
+select s.conv_id, n_turns, turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, formatted_chars, n_windows
+from said2 s join sizes z on s.conv_id is not distinct from z.conv_id
+"""
+
+
+@query
+def op6_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return p.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position")
+
+
+@query
+def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kd_shards(table(spark, sf_dir, "documents"), shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
