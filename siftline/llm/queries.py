@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import digests, format_windows
+from .jaccard import linked_components
 from .mixing import plan_mix
 from .quality import quality_rules
 from .sharding import kd_shards
@@ -101,3 +102,21 @@ def op6_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = kd_shards(table(spark, sf_dir, "documents"), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op5_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_components(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("th")
+
+
+ORACLES["op5_signature_tree_join"] = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sh as (select distinct doc_id, s from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w)),
+n as (select doc_id, count(*) as n from sh group by 1),
+hit as (select a.doc_id as x, b.doc_id as y, count(*) as i from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+link as (select x, y from hit join n a on a.doc_id = x join n b on b.doc_id = y where 100 * i >= 80 * (a.n + b.n - i)),
+reach as (select x as v, x as r from link union select link.y as v, reach.r from reach join link on link.x = reach.v)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce(c.m, d.doc_id) as component_id
+from documents d left join n using (doc_id) left join (select v, min(r) as m from reach group by 1) c on c.v = d.doc_id
+"""
