@@ -10,6 +10,7 @@ from .jaccard import linked_components
 from .mixing import plan_mix
 from .quality import quality_rules
 from .sharding import kd_shards
+from .substrings import passages
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +121,8 @@ reach as (select x as v, x as r from link union select link.y as v, reach.r from
 select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce(c.m, d.doc_id) as component_id
 from documents d left join n using (doc_id) left join (select v, min(r) as m from reach group by 1) c on c.v = d.doc_id
 """
+
+
+@query
+def op3_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
