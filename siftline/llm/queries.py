@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from .chat import digests, format_windows
 from .jaccard import linked_components
+from .language import identify, train
 from .mixing import plan_mix
+from .neighbours import nearest
+from .packing import pack
 from .quality import quality_rules
 from .sharding import kd_shards
 from .substrings import passages
@@ -126,3 +129,31 @@ from documents d left join n using (doc_id) left join (select v, min(r) as m fro
 @query
 def op3_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op7_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0)
+
+
+@query
+def op10_bidirectional_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    model = train(docs.where(~held_out).select("text", "lang"))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+ORACLES["op8_vantage_trees"] = r"""
+with v as (select vec_id, cast(embedding as double[]) as v from embeddings where embedding is not null and vec_id is not null
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 20 = 0)
+select query_id, cast(rank as int) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 20
+"""
