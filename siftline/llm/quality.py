@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, only_columns, word_array, word_count
+from .common import BLANKS, only_columns, word_array
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -67,11 +67,15 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     return a.withColumn("base_failed", failed).drop("_w", "_l", "_s")
 
 
-def line_hashes(text: Column) -> Column:
-    """Hash of each normalised line (lower case, runs of blanks as one space, ends trimmed), null for blank lines."""
+def line_hashes(text: Column, words: bool = False) -> Column:
+    """Hash of each normalised line (lower case, runs of blanks as one space, ends trimmed), null for blank lines; with
+    words, structs of line and words."""
     flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09\x0B-\x0D]+", " ")
     lines = F.split(F.trim(flat), " ?\n ?")
-    return F.transform(lines, lambda x: F.when(x != "", F.xxhash64(x)))
+    if not words:
+        return F.transform(lines, lambda x: F.when(x != "", F.xxhash64(x)))
+    n = lambda x: (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).cast("long")
+    return F.transform(lines, lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("line"), n(x).alias("words"))))
 
 
 def boilerplate_lines(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
@@ -95,11 +99,12 @@ def _removed(docs: DataFrame, limits: LineLimits) -> DataFrame:
     """(k, h, gone): for each document with boilerplate lines, their positions. k, h: what identifies its row."""
     # The lines of a document are few beside its text: only hashes and positions are dealt.
     rows = docs.select(
-        F.col("doc_id").alias("k"), F.xxhash64("source", "text").alias("h"), F.col("source").alias("r_host"), F.posexplode(line_hashes(F.col("text"))).alias("p", "r_line")
-    ).where("r_line is not null")
+        F.col("doc_id").alias("k"), F.xxhash64("source", "text").alias("h"), F.col("source").alias("r_host"), F.posexplode(line_hashes(F.col("text"), words=True)).alias("p", "r")
+    ).where("r is not null")
+    rows = rows.select("k", "h", "r_host", "p", F.col("r.line").alias("r_line"), "r.words")
     bad = boilerplate_lines(docs, limits)
     hit = rows.join(bad, F.col("r_line").eqNullSafe(F.col("line")) & F.col("r_host").eqNullSafe(F.col("host")))
-    return hit.groupBy("k", "h").agg(F.sort_array(F.collect_set("p")).alias("gone"))
+    return hit.groupBy("k", "h").agg(F.sort_array(F.collect_set(F.struct("p", "words"))).alias("gone"))
 
 
 def without_lines(measured: DataFrame, removed: DataFrame, limits: LineLimits) -> DataFrame:
@@ -107,11 +112,11 @@ def without_lines(measured: DataFrame, removed: DataFrame, limits: LineLimits) -
     m = measured.withColumn("_h", F.xxhash64("source", "text"))
     j = m.join(removed, m["doc_id"].eqNullSafe(removed["k"]) & (m["_h"] == removed["h"]), "left")
     j = j.withColumn("_lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n")))
-    lost = F.aggregate("gone", F.lit(0).cast("long"), lambda a, p: a + word_count(F.get("_lines", p)))
+    lost = F.aggregate("gone", F.lit(0).cast("long"), lambda a, g: a + g["words"])
     # The stretches between removed lines, so that a document of many lines costs linear time.
     stretches = F.expr(
-        "array_join(flatten(transform(sequence(0, size(gone)), i -> slice(_lines, if(i = 0, 1, gone[i - 1] + 2), "
-        "if(i = size(gone), size(_lines), gone[i]) - if(i = 0, 0, gone[i - 1] + 1)))), '\n')"
+        "array_join(flatten(transform(sequence(0, size(gone)), i -> slice(_lines, if(i = 0, 1, gone[i - 1].p + 2), "
+        "if(i = size(gone), size(_lines), gone[i].p) - if(i = 0, 0, gone[i - 1].p + 1)))), '\n')"
     )
     j = j.withColumns(
         {
