@@ -9,6 +9,7 @@ from .chat import digests, format_windows
 from .jaccard import linked_components
 from .language import identify, train
 from .mixing import plan_mix
+from .mixing_model import score
 from .neighbours import nearest
 from .packing import pack
 from .quality import quality_rules
@@ -157,3 +158,11 @@ s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, le
 select query_id, cast(rank as int) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 20
 """
+
+
+@query
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    out = score(docs, ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
