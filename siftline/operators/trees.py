@@ -47,7 +47,7 @@ def keyword_matches(keyword: Column, name: Column) -> Column:
     """A dotted keyword matches the name as a pattern (the name holds the wildcards); another one its last part."""
     quoted = F.regexp_replace(name, r"([\\.^$|()\[\]{}+])", r"\\$1")
     pattern = F.concat(F.lit("^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
-    return F.when(keyword.contains("."), keyword.rlike(pattern)).otherwise(F.element_at(F.split(name, r"\."), -1) == keyword)
+    return F.when(keyword.contains("."), F.rlike(keyword, pattern)).otherwise(F.element_at(F.split(name, r"\."), -1) == keyword)
 
 
 def edit_distance(a: list[tuple[int, str, float]], b: list[tuple[int, str, float]]) -> float:
