@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,15 +18,17 @@ from .tokens import U, mix, shingles, text_pieces, word_hashes
 
 @dataclass(frozen=True)
 class JaccardJoin:
-    """Sets of words_per_shingle-word shingles link at percent of their union. order_sample documents are read to learn
-    which shingles are frequent (a matter of speed only: at most order_limit of them stand last in the order of
-    prefixes); block_rows bounds the rows that one task holds of a block."""
+    """Sets of words_per_shingle-word shingles link at percent of their union. A share order_sample of the documents is
+    read to learn which of the first order_tokens of shingle hashes are frequent (a matter of speed only: at most
+    order_limit of them stand last in the order of prefixes); block_rows bounds the rows that one task holds of a block."""
 
     words_per_shingle: int = 5
     percent: int = 80
-    order_sample: int = 20_000
-    order_limit: int = 200_000
-    bits: int = 2048
+    order_sample: float = 0.2
+    order_tokens: float = 0.4
+    order_limit: int = 1_000_000
+    bits: int = 256
+    set_bits: int = 1024
     leaf: int = 16
     fanout: int = 4
     block_rows: int = 2048
@@ -39,20 +42,28 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield first + i, np.unique(shingles(words[rows[i] : rows[i + 1]], k))
 
 
+def _bitmap(tokens: np.ndarray, width: int) -> bytes:
+    b = np.zeros(width, bool)
+    b[(mix(tokens, 3) % U(width)).astype(np.int64)] = True
+    return np.packbits(b).tobytes()
+
+
 def _needed(n: np.ndarray, percent: int):
     """Least overlap that a set of n needs with any set that it links with."""
     return (percent * n + 99) // 100
 
 
 def _signatures(docs: DataFrame, join: JaccardJoin, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, th, n, c, prefix): set size, 64-bit set id, and the prefix of the set, empty for sets seen before in
-    this partition. Equal sets have equal c; different ones collide with a chance of pairs / 2^64."""
-    k, percent, shared = join.words_per_shingle, join.percent, docs.sparkSession.sparkContext.broadcast(frequent)
+    """(doc_id, th, n, c, row, prefix, bits): set size, 64-bit set id, a row id, the prefix of the set and the bitmap of
+    all of it, both empty for sets seen before in this partition. Equal sets have equal c; different ones collide with a chance of pairs / 2^64."""
+    k, percent, width, shared = join.words_per_shingle, join.percent, join.set_bits, docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        seen, often = set(), shared.value
+        seen, often, row = set(), shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            ns, cs, prefixes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            ids = np.arange(row, row + batch.num_rows)
+            row += batch.num_rows
+            ns, cs, prefixes, maps = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows
             for i, s in _sets(batch, k):
                 n = len(s)
                 ns[i] = n
@@ -60,6 +71,7 @@ def _signatures(docs: DataFrame, join: JaccardJoin, frequent: np.ndarray) -> Dat
                 cs[i] = c
                 if n and c not in seen:
                     seen.add(c)
+                    maps[i] = _bitmap(s, width)
                     p = n - int(_needed(n, percent)) + 1
                     if len(often):
                         at = np.minimum(np.searchsorted(often, s), len(often) - 1)
@@ -69,27 +81,23 @@ def _signatures(docs: DataFrame, join: JaccardJoin, frequent: np.ndarray) -> Dat
             lengths = np.array([0 if p is None else len(p) for p in prefixes], np.int64)
             flat = np.concatenate([p for p in prefixes if p is not None] or [np.zeros(0, np.int64)])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(ns), pa.array(cs), lists], ["doc_id", "th", "n", "c", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(ns), pa.array(cs), pa.array(ids), lists, pa.array(maps, pa.binary())], ["doc_id", "th", "n", "c", "row", "prefix", "bits"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, n long, c long, prefix array<long>")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, n long, c long, row long, prefix array<long>, bits binary")
 
 
 def _frequent(docs: DataFrame, join: JaccardJoin) -> np.ndarray:
-    """Sorted hashes of the most frequent shingles of a bounded sample. Any set of them gives the same links."""
-    total = docs.count()
-    if not total:
-        return np.zeros(0, U)
-    cut = min(1.0, join.order_sample / total)
-    k = join.words_per_shingle
+    """Sorted hashes of the most frequent shingles of a sample. Any set of them gives the same links."""
+    k, top = join.words_per_shingle, U(int(join.order_tokens * 2**64))
 
     def run(batches):
         for batch in batches:
             for _, s in _sets(batch, k):
-                yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64))], ["s"])
+                yield pa.RecordBatch.from_arrays([pa.array(s[: np.searchsorted(s, top)].astype(np.int64))], ["s"])
 
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(1 << 20)) < int(cut * (1 << 20))).select("text")
-    counts = picked.mapInArrow(run, "s long").groupBy("s").count().where("count >= 4")
-    rows = counts.orderBy(F.desc("count"), "s").limit(join.order_limit).toPandas()
+    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(1 << 20)) < int(join.order_sample * (1 << 20))).select("text")
+    counts = picked.mapInArrow(run, "s long").groupBy("s").count().where("count >= 3")
+    rows = counts.orderBy(F.desc("count"), "s").limit(join.order_limit).select("s").toPandas()
     return np.sort(rows["s"].to_numpy(np.int64).astype(U))
 
 
@@ -130,39 +138,37 @@ def _live(signatures: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "t long, c long, n long, prev long, pn long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, by the sets themselves."""
-    a, b = sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared * (100 + percent) >= percent * (F.size("sa") + F.size("sb"))).select("a", "b")
-
-
 class SignatureTree:
-    """Sets of a block, ordered by component and size; each node has the OR of its bitmaps, its range of sizes, and the
-    most tokens that share bits (slack), so that slack plus common bits bounds any overlap below it."""
-
-    def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, leaf: int, fanout: int):
-        self.levels = [(n, n, n - np.bitwise_count(bits).sum(1, dtype=np.int64), bits, comp, comp)]
+    """Sets of a block, ordered by component and size. Each node has the OR of its bitmaps of prefixes and of whole sets,
+    its range of sizes, the most tokens that share bits (slack) in either, and the most tokens beyond a prefix (rest).
+    Slack plus common bits bounds the overlap of two whole sets, and with rest on top that of two sets by their prefixes;
+    the less of both holds for any pair below the two nodes."""
+
+    def __init__(self, n: np.ndarray, p: np.ndarray, bits: np.ndarray, whole: np.ndarray, comp: np.ndarray, leaf: int, fanout: int, build: bool = True):
+        count = lambda b: np.bitwise_count(b).sum(1, dtype=np.int64)
+        self.levels = [(n, n, p - count(bits), n - p, bits, n - count(whole), whole, comp, comp)]
         step = leaf
-        while len(self.levels[-1][0]) > 1:
-            lo, hi, slack, b, c0, c1 = self.levels[-1]
+        while build and len(self.levels[-1][0]) > 1:
+            lo, hi, slack, rest, b, loose, w, c0, c1 = self.levels[-1]
             at = np.arange(0, len(lo), step)
-            self.levels.append((np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(slack, at), np.bitwise_or.reduceat(b, at, 0), np.minimum.reduceat(c0, at), np.maximum.reduceat(c1, at)))
+            over = lambda x, at=at: np.maximum.reduceat(x, at)
+            either = lambda x, at=at: np.bitwise_or.reduceat(x, at, 0)
+            self.levels.append((np.minimum.reduceat(lo, at), over(hi), over(slack), over(rest), either(b), over(loose), either(w), np.minimum.reduceat(c0, at), over(c1)))
             step = fanout
         self.steps = [leaf] + [fanout] * max(0, len(self.levels) - 2)
 
     def _may(self, level: int, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-        lo, hi, slack, bits, c0, c1 = self.levels[level]
+        lo, hi, slack, rest, bits, loose, whole, c0, c1 = self.levels[level]
         ok = ~((c0[x] == c1[x]) & (c0[y] == c1[y]) & (c0[x] == c0[y]))
         ok &= (100 * hi[x] >= percent * lo[y]) & (100 * hi[y] >= percent * lo[x])
         x, y, at = x[ok], y[ok], np.flatnonzero(ok)
         keep = np.zeros(len(ok), bool)
         for i in range(0, len(x), 65536):  # a bounded stretch of bitmaps at a time
             p, q = x[i : i + 65536], y[i : i + 65536]
-            common = np.bitwise_count(bits[p] & bits[q]).sum(1, dtype=np.int64)
-            most = np.minimum(np.minimum(slack[p], slack[q]) + common, np.minimum(hi[p], hi[q]))
-            keep[at[i : i + 65536]] = (100 + percent) * most >= percent * (lo[p] + lo[q])
+            common = lambda b, p=p, q=q: np.bitwise_count(b[p] & b[q]).sum(1, dtype=np.int64)
+            most = np.minimum(slack[p], slack[q]) + common(bits) + np.maximum(rest[p], rest[q])
+            most = np.minimum(most, np.minimum(loose[p], loose[q]) + common(whole))
+            keep[at[i : i + 65536]] = (100 + percent) * np.minimum(most, np.minimum(hi[p], hi[q])) >= percent * (lo[p] + lo[q])
         return keep
 
     def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,49 +187,93 @@ class SignatureTree:
         return x, y
 
 
-def _grouped(batches, keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of equal keys from sorted batches."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(k).to_numpy() for k in keys]
-        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-        edges = [0, *change.tolist(), batch.num_rows]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            piece = batch.slice(a, b - a)
-            if held and any(held[-1].column(k)[0] != piece.column(k)[0] for k in keys):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(piece)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _tree_pairs(live: DataFrame, labels: DataFrame, sets: DataFrame, join: JaccardJoin, best_only: bool) -> DataFrame:
-    """(a, b): pairs of sets of one block, in different components, that signature trees can't exclude.
-
-    Of blocks with the same sets one is searched; a block of more than block_rows sets is searched piece against piece.
-    best_only: for each set and each other component of its block only the likeliest pair.
-    """
+def _search_blocks(edges: np.ndarray, n, p, bits, whole, comp, join: JaccardJoin) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs that may link within each block [edges[i], edges[i + 1]). A block that fits one leaf is searched at once
+    with all others like it; a larger one through its tree."""
+    sizes = np.diff(edges)
+    block = np.repeat(np.arange(len(sizes)), sizes)
+    small = sizes[block] <= join.leaf
+    flat = SignatureTree(n, p, bits, whole, comp, join.leaf, join.fanout, build=False)
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, join.leaf):
+        x = np.flatnonzero(small[d:] & (block[d:] == block[:-d]))
+        if not len(x):
+            break
+        keep = flat._may(0, x, x + d, join.percent)
+        xs.append(x[keep])
+        ys.append(x[keep] + d)
+    for i in np.flatnonzero(sizes > join.leaf):
+        at = slice(edges[i], edges[i + 1])
+        x, y = SignatureTree(n[at], p[at], bits[at], whole[at], comp[at], join.leaf, join.fanout).pairs(join.percent)
+        xs.append(x + edges[i])
+        ys.append(y + edges[i])
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+#: Row ids to fetch are broadcast up to this many (24 bytes each), else joined by a shuffle of what they fetch.
+BROADCAST_ROWS = 500_000
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    ids = materialize(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def _prefix_table(signatures: DataFrame, wanted: DataFrame, join: JaccardJoin) -> DataFrame:
+    """(c, n, prefix, bits, whole) of the sets in wanted(c)."""
+    width = join.bits
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("prefix")
+            maps = [_bitmap(lists[i].values.to_numpy().astype(U), width) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("n"), lists, pa.array(maps, pa.binary()), batch.column("whole")], ["c", "n", "prefix", "bits", "whole"])
+
+    one = signatures.where("size(prefix) > 0").groupBy("c").agg(F.min("row").alias("row")).join(wanted, "c", "left_semi").select("row")
+    rows = signatures.where("size(prefix) > 0").join(_small(one), "row").select("c", "n", "prefix", F.col("bits").alias("whole"))
+    return rows.mapInArrow(run, "c long, n long, prefix array<long>, bits binary, whole binary")
+
+
+def _block_rows(live: DataFrame, labels: DataFrame, join: JaccardJoin) -> DataFrame:
+    """(t, c, n, comp, q): rows of blocks that hold several components, one block for each family of sets; q: in how many
+    pieces it is searched."""
     rows = live.select("t", "c", "n").join(labels, live["c"] == labels["v"], "left").select("t", "c", "n", F.coalesce("component", "c").alias("comp"))
     about = rows.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum(F.shiftright(F.xxhash64("c"), 32)).alias("x1"), F.bit_xor(F.xxhash64("c")).alias("x2"))
     blocks = about.where("lo < hi").groupBy("m", "x1", "x2").agg(F.min("t").alias("bt")).select("bt", F.ceil(F.col("m") / join.block_rows).cast("int").alias("q"))
-    rows = rows.join(blocks, rows["t"] == blocks["bt"]).drop("bt")
+    return materialize(rows.join(blocks, rows["t"] == blocks["bt"]).drop("bt"))
+
+
+def _tree_pairs(rows: DataFrame, prefixes: DataFrame, join: JaccardJoin, best_only: bool) -> DataFrame:
+    """(a, b): pairs of sets of one block, in different components, that bitmaps of their prefixes can't exclude.
+
+    A block of more than block_rows sets is searched piece against piece.
+    best_only: for each set and each other component of its block only the likeliest pair.
+    """
     rows = rows.withColumn("k", F.pmod(F.xxhash64("c"), F.col("q")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     rows = rows.select("t", F.least("k", "j").alias("i"), F.greatest("k", "j").alias("j"), "n", "c", "comp")
-    rows = rows.join(sets.select(F.col("c").alias("bc"), "bits"), F.col("c") == F.col("bc")).drop("bc")
+    rows = rows.join(prefixes.select(F.col("c").alias("bc"), F.size("prefix").cast("long").alias("p"), "bits", "whole"), F.col("c") == F.col("bc")).drop("bc")
     rows = rows.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "comp", "n", "c")
-    percent, leaf, fanout = join.percent, join.leaf, join.fanout
 
     def run(batches):
-        for g in _grouped(batches, ["t", "i", "j"]):
-            n, c, comp = (g.column(x).to_numpy() for x in ("n", "c", "comp"))
-            bits = np.frombuffer(b"".join(g.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
-            x, y = SignatureTree(n, bits, comp, leaf, fanout).pairs(percent)
+        held = None
+        for batch in _with_end(batches):
+            table = batch if held is None else (held if batch is None else pa.concat_tables([held, batch]))
+            if table is None or not table.num_rows:
+                continue
+            keys = [table.column(x).to_numpy() for x in ("t", "i", "j")]
+            edges = np.concatenate(([0], np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1, [table.num_rows]))
+            held = None
+            if batch is not None:  # the last block may go on in the next batch
+                held = table.slice(edges[-2])
+                table, edges = table.slice(0, edges[-2]), edges[:-1]
+                if not table.num_rows:
+                    continue
+            n, p, c, comp = (table.column(x).to_numpy() for x in ("n", "p", "c", "comp"))
+            bits, whole = (np.frombuffer(b"".join(table.column(m).to_pylist()), np.uint64).reshape(len(n), -1) for m in ("bits", "whole"))
+            x, y = _search_blocks(edges, n, p, bits, whole, comp, join)
             if best_only and len(x) > 1:
-                score = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64)
+                score = np.bitwise_count(whole[x] & whole[y]).sum(1, dtype=np.int64)
                 order = np.lexsort((c[y], -score, comp[y], x))
                 head = np.ones(len(x), bool)
                 head[1:] = (x[order][1:] != x[order][:-1]) | (comp[y][order][1:] != comp[y][order][:-1])
@@ -233,25 +283,62 @@ def _tree_pairs(live: DataFrame, labels: DataFrame, sets: DataFrame, join: Jacca
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _set_table(docs: DataFrame, holders: DataFrame, join: JaccardJoin) -> DataFrame:
-    """(c, s, bits): the sets and bitmaps of the documents in holders(doc_id, th, c)."""
-    k, bits = join.words_per_shingle, join.bits
+def _by_prefixes(pairs: DataFrame, prefixes: DataFrame, join: JaccardJoin) -> DataFrame:
+    """The pairs whose prefixes share enough for a link."""
+    a, b = (prefixes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+    beyond = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
+    may = (F.size(F.array_intersect("pa", "pb")) + beyond) * (100 + join.percent) >= join.percent * (F.col("na") + F.col("nb"))
+    return both.where(may).select("a", "b")
+
+
+def _with_end(batches) -> Iterator[pa.Table | None]:
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.Table.from_batches([batch])
+    yield None
+
+
+def _set_table(docs: DataFrame, signatures: DataFrame, wanted: DataFrame, join: JaccardJoin) -> DataFrame:
+    """(c, s): the sets in wanted(c), made again from the text of one document each."""
+    k = join.words_per_shingle
 
     def run(batches):
+        seen = set()  # repeated rows of this partition
         for batch in batches:
-            ids, rows = batch.column("c"), list(_sets(batch, k))
-            maps = []
-            for _, s in rows:
-                b = np.zeros(bits // 64, np.uint64)
-                h = (mix(s, 3) % U(bits)).astype(np.int64)
-                np.bitwise_or.at(b, h >> 6, U(1) << (h & 63).astype(U))
-                maps.append(b.tobytes())
-            lists = pa.array([s.astype(np.int64) for _, s in rows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, lists, pa.array(maps, pa.binary())], ["c", "s", "bits"])
-
-    h = holders.select(F.col("doc_id").alias("h_id"), F.col("th").alias("h_th"), "c")
+            ids, new = batch.column("c").to_pylist(), []
+            for i, c in enumerate(ids):
+                if c not in seen:
+                    seen.add(c)
+                    new.append(i)
+            part = batch.take(pa.array(new, pa.int32()))
+            lists = pa.array([s.astype(np.int64) for _, s in _sets(part, k)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("c"), lists], ["c", "s"])
+
+    one = signatures.where("n > 0").join(wanted, "c", "left_semi").groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("x"))
+    h = _small(one.select("c", F.col("x.doc_id").alias("h_id"), F.col("x.th").alias("h_th")))
     texts = docs.join(h, docs["doc_id"].eqNullSafe(h["h_id"]) & (docs["th"] == h["h_th"])).select("c", "text")
-    return texts.mapInArrow(run, "c long, s array<long>, bits binary").dropDuplicates(["c"])
+    return texts.mapInArrow(run, "c long, s array<long>")
+
+
+def _links(docs: DataFrame, signatures: DataFrame, pairs: DataFrame, join: JaccardJoin) -> DataFrame:
+    """The pairs (a, b) whose sets link, by the sets themselves."""
+    pairs = materialize(pairs)
+    sets = materialize(_set_table(docs, signatures, pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), join))
+    a, b = sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
+    both = pairs.join(a, "a").join(b, "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return materialize(both.where(shared * (100 + join.percent) >= join.percent * (F.size("sa") + F.size("sb"))).select("a", "b").distinct())
+
+
+def _neighbours(live: DataFrame, join: JaccardJoin) -> DataFrame:
+    """(a, b): sets that stand side by side, by size, in enough of their blocks to be worth a look: a quarter of what their
+    prefixes must share. Those left out are left to the trees."""
+    rows = live.where("prev is not null and 100 * pn >= %d * n" % join.percent)
+    rows = rows.groupBy(F.least("c", "prev").alias("a"), F.greatest("c", "prev").alias("b")).agg(F.count("*").alias("m"), F.max("n").alias("x"), F.max("pn").alias("y"))
+    rest = lambda n: F.floor((join.percent * F.col(n) + 99) / 100) - 1
+    least = F.ceil(join.percent * (F.col("x") + F.col("y")) / (100 + join.percent)) - F.greatest(rest("x"), rest("y"))
+    return rows.where(4 * F.col("m") >= least).select("a", "b")
 
 
 def linked_components(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> DataFrame:
@@ -269,14 +356,19 @@ def linked_components(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> Dat
     d = only_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     signed = materialize(_signatures(d, join, _frequent(d, join)))
     live = materialize(_live(signed))
-    pairs = live.where("prev is not null and 100 * pn >= %d * n" % join.percent).select(F.least("c", "prev").alias("a"), F.greatest("c", "prev").alias("b")).distinct()
-    wanted = live.select("c").distinct()
-    one = signed.where("n > 0").groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("c", "x.doc_id", "x.th")
-    sets = materialize(_set_table(d, one.join(wanted, "c", "left_semi"), join))
-    links = materialize(_verified(pairs, sets, join.percent))
+    links = _links(d, signed, _neighbours(live, join), join)
     labels = components(links)
+    prefixes = tried = None
     for best_only in (True, False):
-        more = materialize(_verified(_tree_pairs(live, labels, sets, join, best_only), sets, join.percent))
+        rows = _block_rows(live, labels, join)
+        if prefixes is None:
+            prefixes = materialize(_prefix_table(signed, rows.select("c").distinct(), join))
+        found = _tree_pairs(rows, prefixes, join, best_only)
+        found = materialize(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
+        tried = found
+        if found.isEmpty():
+            break
+        more = _links(d, signed, _by_prefixes(found, prefixes, join), join)
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)

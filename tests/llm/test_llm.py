@@ -270,7 +270,7 @@ def brute_components(rows):
     return sorted(((i, len(s), low[find(x)]) for x, (i, s) in enumerate(sets)), key=key)
 
 
-@pytest.mark.parametrize("join", [jaccard.JaccardJoin(), jaccard.JaccardJoin(order_sample=1.0, leaf=2, fanout=2, block_rows=4, bits=64)])
+@pytest.mark.parametrize("join", [jaccard.JaccardJoin(), jaccard.JaccardJoin(order_sample=1.0, leaf=2, fanout=2, block_rows=4, bits=64, set_bits=64)])
 def test_links_equal_brute_force(spark, corpus, odd, none, join):
     rows = [(r[0], r[1]) for r in corpus[0]] + [(500 + r[0] if r[0] is not None else None, r[1]) for r in awkward()]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, c string")
@@ -294,7 +294,7 @@ def test_signature_tree_loses_no_pair():
             bits[i, (x % 256) >> 6] |= np.uint64(1) << np.uint64(x % 64)
     size = np.array([len(set(t.tolist())) for t in tokens])
     order = np.argsort(size, kind="stable")
-    tree = jaccard.SignatureTree(size[order], size[order], bits[order], order, 4, 3)
+    tree = jaccard.SignatureTree(size[order], size[order], bits[order], bits[order], order, 4, 3)
     found = {tuple(sorted((order[a], order[b]))) for a, b in zip(*tree.pairs(80), strict=True)}
     for a in range(n):
         for b in range(a):
