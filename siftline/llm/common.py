@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,6 +29,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once. A column of a projection would be put in place of its name wherever the
+    optimiser pushes a filter, inside of lambdas even, and be computed for each element there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def only_columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; a missing one is null. Other columns can't clash with what an operator adds."""
     have = set(df.columns)
@@ -37,8 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = getattr(spark, "_siftline_dir", None) or tempfile.mkdtemp(prefix="siftline-")
-        spark._siftline_dir = found
+        found = getattr(spark, "_siftline_dir", None)
+        if found is None:
+            found = spark._siftline_dir = tempfile.mkdtemp(prefix="siftline-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, only_columns, word_array
+from .common import BLANKS, let, materialize, only_columns, word_array
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -28,7 +28,7 @@ def has_word(line: Column) -> Column:
     return F.length(F.btrim(line, F.lit(BLANKS))) > 0
 
 
-def repeated_window_words(hashes: Column, positions: Column) -> Column:
+def repeated_window_words(positions: Column) -> Column:
     """Words covered by windows at the given rising positions (3 words each)."""
     return F.aggregate(
         positions,
@@ -44,27 +44,30 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     Windows of three words are compared by a 64-bit hash, sorted with their positions: n log n, no pairs.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    a = docs.withColumns({"_w": word_array(text), "_l": F.filter(F.split(text, "\n"), has_word)})
-    a = a.withColumns(
-        {
-            "n_words": F.size("_w").cast("long"),
-            "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
-        }
-    )
-    n = F.size("_w")
-    # Windows of fewer than four words can't repeat.
-    windows = F.when(n < 4, F.expr("cast(array() as array<struct<h:bigint,p:int>>)")).otherwise(
-        F.expr("transform(sequence(0, greatest(size(_w) - 3, 0)), i -> named_struct('h', xxhash64(_w[i], _w[i + 1], _w[i + 2]), 'p', i))")
+    lines = let(F.filter(F.split(text, "\n"), has_word), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+
+    def windows(w: Column) -> Column:  # sorted (hash, position); too few words have none
+        at = F.sequence(F.lit(0), F.size(w) - 3)
+        each = F.transform(at, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")))
+        return F.sort_array(F.when(F.size(w) >= 4, each).otherwise(F.array().cast("array<struct<h: bigint, p: int>>")))
+
+    def repeated(s: Column) -> Column:  # rising positions of windows whose hash stands beside an equal one
+        near = lambda i, x: F.coalesce(F.get(s, i)["h"] == x["h"], F.lit(False))
+        twice = F.filter(s, lambda x, i: near(i - 1, x) | near(i + 1, x))
+        return F.sort_array(F.transform(twice, lambda x: x["p"]))
+
+    counted = let(
+        word_array(text),
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            let(windows(w), lambda s: repeated_window_words(repeated(s))).cast("long").alias("n_repeat_words"),
+        ),
     )
-    a = a.withColumn("_s", F.sort_array(windows))
-    found = F.expr(
-        "sort_array(transform(filter(_s, (x, i) -> (i > 0 and _s[greatest(i - 1, 0)].h = x.h) or (i + 1 < size(_s) and _s[least(i + 1, size(_s) - 1)].h = x.h)), x -> x.p))"
-    )
-    a = a.withColumn("n_repeat_words", repeated_window_words(F.col("_s"), found).cast("long"))
+    a = docs.withColumns({"_c": counted, "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"), "n_dup_lines": lines.cast("long")})
+    a = a.withColumns({c: F.col("_c")[c] for c in ("n_words", "word_chars", "n_repeat_words")}).drop("_c")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return a.withColumn("base_failed", failed).drop("_w", "_l", "_s")
+    return a.withColumn("base_failed", failed)
 
 
 def line_hashes(text: Column, words: bool = False) -> Column:
@@ -107,26 +110,33 @@ def _removed(docs: DataFrame, limits: LineLimits) -> DataFrame:
     return hit.groupBy("k", "h").agg(F.sort_array(F.collect_set(F.struct("p", "words"))).alias("gone"))
 
 
-def without_lines(measured: DataFrame, removed: DataFrame, limits: LineLimits) -> DataFrame:
-    """Adds words_left, n_lines_removed, cleaned and kept to rows with doc_id, source, text, n_words, base_failed."""
+def without(text: Column, gone: Column) -> Column:
+    """The text without the lines at the rising positions of gone(p, words): the stretches between them, in linear time."""
+    at = lambda i: F.get(gone, i)["p"]
+
+    def stretch(ls: Column, i: Column) -> Column:
+        begin = F.when(i == 0, 0).otherwise(at(i - 1) + 1)
+        end = F.when(i == F.size(gone), F.size(ls)).otherwise(at(i))
+        return F.slice(ls, begin + 1, end - begin)
+
+    return let(F.split(text, "\n"), lambda ls: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: stretch(ls, i))), "\n"))
+
+
+def without_lines(measured: DataFrame, removed: DataFrame, limits: LineLimits, keep_lines: bool = False) -> DataFrame:
+    """Adds words_left, n_lines_removed, cleaned and kept to rows with doc_id, source, text, n_words, base_failed;
+    keep_lines: and gone."""
     m = measured.withColumn("_h", F.xxhash64("source", "text"))
     j = m.join(removed, m["doc_id"].eqNullSafe(removed["k"]) & (m["_h"] == removed["h"]), "left")
-    j = j.withColumn("_lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n")))
     lost = F.aggregate("gone", F.lit(0).cast("long"), lambda a, g: a + g["words"])
-    # The stretches between removed lines, so that a document of many lines costs linear time.
-    stretches = F.expr(
-        "array_join(flatten(transform(sequence(0, size(gone)), i -> slice(_lines, if(i = 0, 1, gone[i - 1].p + 2), "
-        "if(i = size(gone), size(_lines), gone[i].p) - if(i = 0, 0, gone[i - 1].p + 1)))), '\n')"
-    )
     j = j.withColumns(
         {
             "words_left": F.col("n_words") - F.coalesce(lost, F.lit(0)),
             "n_lines_removed": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long"),
-            "cleaned": F.when(F.col("gone").isNull(), F.col("text")).otherwise(stretches),
+            "cleaned": F.when(F.col("gone").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("gone"))),
         }
     )
     kept = ~F.col("base_failed") & (F.col("words_left") >= limits.min_words) & (F.col("words_left") >= limits.min_left * F.col("n_words"))
-    return j.withColumn("kept", kept).drop("k", "h", "_h", "gone", "_lines")
+    return j.withColumn("kept", kept).drop("k", "h", "_h", *([] if keep_lines else ["gone"]))
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -144,12 +154,19 @@ def quality_rules(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFra
     return j.select("doc_id", *BASE, "base_failed", "kept", "words_left", "n_lines_removed", "cleaned")
 
 
+#: Rows of changed documents are broadcast up to this many, else joined by a shuffle of the texts.
+BROADCAST_ROWS = 200_000
+
+
 def keep_good(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """The documents that pass, without their boilerplate lines; all their columns stay, n_chars follows the text."""
     d = only_columns(docs, "doc_id", "text", "source")
-    rows = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    good = base_metrics(rows).where("not base_failed").drop(*BASE[1:])
-    j = without_lines(good, _removed(d, limits), limits).where("kept")
-    changed = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
-    touched = F.col("n_lines_removed") > 0
-    return j.select(*[(F.when(touched, changed[c]).otherwise(F.col("_row")[c]) if c in changed else F.col("_row")[c]).alias(c) for c in docs.columns])
+    j = without_lines(base_metrics(d), _removed(d, limits), limits, keep_lines=True)
+    changed = j.where("not kept or gone is not null").groupBy(F.col("doc_id").alias("k"), F.xxhash64("source", "text").alias("h")).agg(F.first("kept").alias("kept"), F.first("gone").alias("gone"))
+    changed = materialize(changed)
+    changed = F.broadcast(changed) if changed.count() <= BROADCAST_ROWS else changed
+    rows = docs.withColumn("_h", F.xxhash64("source", "text"))
+    rows = rows.join(changed, rows["doc_id"].eqNullSafe(changed["k"]) & (rows["_h"] == changed["h"]), "left").where("coalesce(kept, true)")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("gone")))
+    out = {"text": text, "n_chars": F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None}
+    return rows.select(*[(out[c] if c in out else rows[f"`{c}`"]).alias(c) for c in docs.columns])
