@@ -52,13 +52,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: cuts lineage, survives lost executors."""
+_written: list[str] = []
+
+
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder as Parquet and read it back: cuts lineage, survives lost executors.
+
+    Tables stay until release(), which leaves those with keep alone.
+    """
     path = f"{shared_dir(df.sparkSession)}/siftline-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables so far. Only for callers whose results have been written already."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def hash_bucket(u: Column, buckets: int = PREFIX_BUCKETS) -> Column:
     """Bucket of a 64-bit hash; buckets keep the order of the hash."""
     return F.shiftright(u, 64 - (buckets.bit_length() - 1)) + F.lit(buckets // 2)

@@ -475,7 +475,7 @@ def test_pipeline_stages(spark, sf_dir):
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(corpus_pipeline.STAGES) - 1:
-            docs = corpus_pipeline.materialize(docs)
+            docs = corpus_pipeline.materialize(docs, keep=True)
             assert docs.columns == columns
             ids = {r.doc_id for r in docs.collect()}
             assert ids <= before and len(ids) >= 0.75 * len(before)
