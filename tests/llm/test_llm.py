@@ -184,6 +184,17 @@ def test_passages_are_found_and_cut(spark, corpus, odd, none):
     assert {(r.doc_id, r.match_doc_id) for r in substrings.passages(odd).where("whole").collect()} == {(6, 5), (None, 5)}
 
 
+def test_rows_of_one_id_are_cut_by_their_own_passages(spark):
+    r = random.Random(21)
+    shared, copied, clean, other = words(80, r), words(90, r), words(200, r), words(150, r)
+    held = [words(60, r) + shared + words(60, r) for _ in range(2)]
+    rows = [(None, held[0]), (None, held[1]), (None, clean), (None, copied), (1, copied), (7, other), (7, copied)]
+    df = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in rows], SCHEMA)
+    got = Counter((x.doc_id, x.text) for x in substrings.without_repeats(df).collect())
+    assert got[(None, " ".join(clean))] == got[(7, " ".join(other))] == got[(1, " ".join(copied))] == 1
+    assert sum(got.values()) == 5 and sum(" ".join(shared) in t for _, t in got) == 1
+
+
 def test_fenwick_chains_equal_quadratic_ones():
     p = substrings.Passages()
     r = random.Random(2)
