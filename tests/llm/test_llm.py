@@ -214,6 +214,39 @@ def test_fenwick_chains_equal_quadratic_ones():
         assert found[0][-1] == min(range(len(pts)), key=lambda q: (-best[q], q))
 
 
+def test_second_passage_of_a_pair_is_chained_over_its_insertion():
+    p = substrings.Passages()
+    for seed in range(20):
+        r = np.random.default_rng(seed)
+        x, y = (r.integers(0, 2**63, n).astype(np.uint64) for n in (600, 601))
+        y[20:320] = x[20:320]  # its chain's end outweighs all near matches for hundreds of words
+        y[420:460], y[461:501] = x[420:460], x[460:500]
+        at = {int(h): i for i, h in enumerate(substrings.window_hashes(x, p.k))}
+        pts = sorted((i, at[int(h)]) for i, h in enumerate(substrings.window_hashes(y, p.k)) if int(h) in at and i % 5 == 0)
+        pb, pa = (np.array(c) for c in zip(*pts, strict=True))
+        found = [(a0, a1, b0, b1) for a0, a1, b0, b1, _ in substrings.align(x, y, pa, pb, p)]
+        assert found == [(20, 320, 20, 320), (420, 500, 420, 501)]
+
+
+def test_near_chains_equal_quadratic_ones():
+    p = substrings.Passages()
+    r = random.Random(3)
+    for _ in range(60):
+        pts = sorted({(r.randrange(120), r.randrange(120)) for _ in range(r.randint(1, 25))})
+        pb, pa = np.array([x for x, _ in pts]), np.array([x for _, x in pts])
+        best = [float(p.k)] * len(pts)
+        for i in range(len(pts)):
+            near = [j for j in range(i) if 0 < pb[i] - pb[j] <= p.max_gap + p.k and 0 < pa[i] - pa[j] <= p.max_gap + p.k]
+            if near:
+                value, j = max((best[j] + p.gap_cost * (pa[j] + pb[j]), j) for j in near)
+                gain = value - p.gap_cost * (pa[i] + pb[i])
+                if gain > 0:
+                    best[i] = gain + min(p.k, pa[i] - pa[j], pb[i] - pb[j])
+        found = substrings.chains(pb, pa, p, near=True)
+        assert sorted(x for c in found for x in c) == list(range(len(pts)))
+        assert found[0][-1] == min(range(len(pts)), key=lambda q: (-best[q], q))
+
+
 def test_minimisers_leave_no_window_empty():
     r = np.random.default_rng(1)
     for n in (1, 5, 16, 17, 200):
