@@ -247,6 +247,32 @@ def test_near_chains_equal_quadratic_ones():
         assert found[0][-1] == min(range(len(pts)), key=lambda q: (-best[q], q))
 
 
+def test_fuzzy_passages_share_seeds():
+    p = substrings.Passages()
+    r = np.random.default_rng(4)
+
+    def found(n, changed):
+        x, y = (r.integers(1, 2**63, n + 120).astype(np.uint64) for _ in range(2))
+        same = np.setdiff1d(np.arange(60, 60 + n), 60 + np.asarray(changed))
+        y[same] = x[same]
+        (kx, px), (ky, py) = substrings.seed_keys(x, p), substrings.seed_keys(y, p)
+        at = dict(zip(kx.tolist(), (px & 0xFFFFFFFF).tolist(), strict=True))
+        m = sorted((b, at[k]) for k, b in zip(ky.tolist(), (py & 0xFFFFFFFF).tolist(), strict=True) if k in at)
+        if len({b for b, _ in m}) < p.min_seeds:
+            return False
+        pb, pa = (np.array(c) for c in zip(*m, strict=True))
+        return substrings.spans_enough(pb, pa, p) and bool(substrings.align(x, y, pa, pb, p))
+
+    # share of changed words -> passages found of 100, of 60 and of 100 words
+    for share, least in ((0.0, (100, 100)), (0.1, (98, 100)), (0.15, (90, 98)), (0.2, (70, 95))):
+        got = [sum(found(n, r.choice(n, round(n * share), False)) for _ in range(100)) for n in (60, 100)]
+        assert all(g >= x for g, x in zip(got, least, strict=True)), (share, got)
+    for step, least in ((10, 95), (8, 95), (5, 70)):
+        got = sum(found(60, np.arange(r.integers(step), 60, step)) for _ in range(100))
+        assert got >= least, (step, got)
+    assert all(found(50, []) for _ in range(200))
+
+
 def test_minimisers_leave_no_window_empty():
     r = np.random.default_rng(1)
     for n in (1, 5, 16, 17, 200):
