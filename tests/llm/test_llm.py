@@ -273,6 +273,19 @@ def test_fuzzy_passages_share_seeds():
     assert all(found(50, []) for _ in range(200))
 
 
+def test_texts_meet_on_a_passage_of_frequent_lines(spark):
+    r, rows, pairs = random.Random(8), [], []
+    for lines, length in [(2, 30)] * 8 + [(3, 20)] * 8 + [(3, 25)] * 8:
+        said = [words(length, r) for _ in range(lines)]
+        for _ in range(2):
+            rows.append((len(rows), " ".join(words(30, r) + sum(said, []) + words(30, r))))
+        pairs.append((len(rows) - 2, len(rows) - 1))
+        for line in said:
+            rows += [(len(rows) + j, " ".join(words(30, r) + line + words(30, r))) for j in range(50)]
+    got = {tuple(sorted((x.doc_id, x.match_doc_id))) for x in substrings.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(pairs)
+
+
 def test_minimisers_leave_no_window_empty():
     r = np.random.default_rng(1)
     for n in (1, 5, 16, 17, 200):
