@@ -28,22 +28,13 @@ def cost(n: int, balance: float) -> float:
     return n * (1 + n / balance)
 
 
-def best_fit(sizes: np.ndarray, lengths: Lengths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bin, offset of each piece, capacity of each bin) for pieces of at most the largest capacity.
-
-    Largest piece first, into the open bin that it leaves least room in. If none has room, that permitted length is
-    opened whose cost per expected token is least: what it can hold, or what is left to pack if less. At last each bin
-    gets the smallest length that holds its contents.
-    """
-    caps = sorted(lengths.capacities)
-    price = {c: cost(c, lengths.balance) for c in caps}
+def _fill(sizes: np.ndarray, opening: dict[int, int], caps: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """best_fit with given lengths to open: opening has one for each length that is the smallest to hold a piece."""
     order = np.lexsort((np.arange(len(sizes)), -sizes))
     bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
     by_room: list[list[int]] = [[] for _ in range(caps[-1] + 1)]
     rooms = 0  # bit r: some open bin has room r
     used: list[int] = []
-    opened: list[int] = []
-    left = int(sizes.sum())
     for i in order.tolist():
         n = int(sizes[i])
         fits = rooms >> n
@@ -53,19 +44,39 @@ def best_fit(sizes: np.ndarray, lengths: Lengths) -> tuple[np.ndarray, np.ndarra
             if not by_room[r]:
                 rooms &= ~(1 << r)
         else:
-            r = min((c for c in caps if c >= n), key=lambda c: (price[c] / min(c, left), c))
+            r = opening[next(c for c in caps if c >= n)]
             b = len(used)
             used.append(0)
-            opened.append(r)
         bins[i], offsets[i] = b, used[b]
         used[b] += n
-        left -= n
         if r > n:
             by_room[r - n].append(b)
             rooms |= 1 << (r - n)
     return bins, offsets, np.array([next(c for c in caps if c >= u) for u in used], np.int64)
 
 
+def best_fit(sizes: np.ndarray, lengths: Lengths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, offset of each piece, capacity of each bin) for pieces of at most the largest capacity.
+
+    Largest piece first, into the open bin that it leaves least room in. If none has room, a new one is opened; at last
+    each bin gets the smallest length that holds its contents. Which length is opened for pieces of which smallest length
+    is tried out: each length for all, then from the cheapest of these other ones for each, as long as the cost falls.
+    """
+    caps = sorted(lengths.capacities)
+    price = {c: cost(c, lengths.balance) for c in caps}
+
+    def tried(opening):
+        found = _fill(sizes, opening, caps)
+        return sum(price[c] * int((found[2] == c).sum()) for c in caps), opening, found
+
+    best = min((tried({own: max(own, c) for own in caps}) for c in caps), key=lambda t: t[0])
+    for own in reversed(caps):
+        if ((sizes <= own) & (sizes > max([c for c in caps if c < own], default=0))).any():
+            others = [tried(best[1] | {own: c}) for c in caps if c >= own and c != best[1][own]]
+            best = min([best, *others], key=lambda t: t[0])
+    return best[2]
+
+
 def pack(docs: DataFrame, lengths: Lengths = Lengths()) -> DataFrame:
     """A row for each piece of documents(doc_id, text): bin_id, capacity, used, doc_id, piece, start (first token in the
     document), n_tokens, at (offset in the sequence).

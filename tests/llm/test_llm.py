@@ -469,6 +469,31 @@ def test_best_fit_takes_the_tightest_open_bin():
 # 8. neighbours
 
 
+def test_lengths_cost_no_more_than_any_one_policy():
+    lengths, r = packing.Lengths(), np.random.default_rng(6)
+    caps = lengths.capacities
+
+    def total(used):
+        return sum(packing.cost(c, lengths.balance) for c in used)
+
+    def first_opened(sizes, opened):  # best fit by hand: bins opened at `opened`, or at the smallest length of the piece
+        bins = []
+        for n in sorted(sizes.tolist(), reverse=True):
+            fitting = [b for b in bins if b[0] >= n]
+            b = min(fitting, key=lambda b: b[0], default=None)
+            if b is None:
+                bins.append(b := [next(c for c in caps if c >= max(n, opened)), 0])
+            b[0], b[1] = b[0] - n, b[1] + n
+        return total(next(c for c in caps if c >= b[1]) for b in bins)
+
+    same = np.full(900, 300)
+    assert total(packing.best_fit(same, lengths)[2]) < 0.7 * first_opened(same, caps[0])
+    for sizes in (same, r.integers(1, 700, 400), np.minimum(8192, r.lognormal(6, 1.2, 400).astype(int) + 1), np.concatenate((same, r.integers(4000, 5000, 60)))):
+        bins, _, got = packing.best_fit(sizes, lengths)
+        assert (np.bincount(bins, sizes) <= got).all()
+        assert all(total(got) <= first_opened(sizes, c) + 1e-6 for c in caps)
+
+
 def test_neighbours_equal_brute_force(spark, none):
     r = np.random.default_rng(3)
     x = r.standard_normal((700, 8)).astype(np.float32)
