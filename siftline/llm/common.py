@@ -41,6 +41,21 @@ def only_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).alias(n) for n in names])
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns as the one struct `row`: whatever an operator adds beside it, no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def field(docs: DataFrame, name: str) -> Column:
+    """A column of docs inside of `row`; null if docs has none of that name."""
+    return F.col("row").getField(name) if name in docs.columns else F.lit(None).cast("string")
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs from `row`, those in `changed` by their new values."""
+    return rows.select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

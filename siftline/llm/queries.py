@@ -111,7 +111,7 @@ def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked_components(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("th")
+    return linked_components(table(spark, sf_dir, "documents"))
 
 
 ORACLES["op5_signature_tree_join"] = r"""

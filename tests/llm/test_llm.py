@@ -353,13 +353,13 @@ def brute_components(rows):
     return sorted(((i, len(s), low[find(x)]) for x, (i, s) in enumerate(sets)), key=key)
 
 
-@pytest.mark.parametrize("join", [jaccard.JaccardJoin(), jaccard.JaccardJoin(order_sample=1.0, leaf=2, fanout=2, block_rows=4, bits=64, set_bits=64)])
+@pytest.mark.parametrize("join", [jaccard.JaccardJoin(), jaccard.JaccardJoin(order_sample=1.0, leaf=2, fanout=2, block_rows=4, first_blocks=1), jaccard.JaccardJoin(order_sample=0.0, block_shingles=300)])
 def test_links_equal_brute_force(spark, corpus, odd, none, join):
     rows = [(r[0], r[1]) for r in corpus[0]] + [(500 + r[0] if r[0] is not None else None, r[1]) for r in awkward()]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, c string")
     got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in linked_components(df, join).collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert got == brute_components(rows)
-    if join.leaf == 16:
+    if join.first_blocks == 3 and join.block_shingles > 300:
         assert linked_components(none, join).count() == 0
         kept = one_of_each(odd)
         assert kept.columns == odd.columns
@@ -377,7 +377,7 @@ def test_signature_tree_loses_no_pair():
             bits[i, (x % 256) >> 6] |= np.uint64(1) << np.uint64(x % 64)
     size = np.array([len(set(t.tolist())) for t in tokens])
     order = np.argsort(size, kind="stable")
-    tree = jaccard.SignatureTree(size[order], size[order], bits[order], bits[order], order, 4, 3)
+    tree = jaccard.SignatureTree(size[order], bits[order], order, 4, 3)
     found = {tuple(sorted((order[a], order[b]))) for a, b in zip(*tree.pairs(80), strict=True)}
     for a in range(n):
         for b in range(a):
@@ -386,6 +386,55 @@ def test_signature_tree_loses_no_pair():
                 assert (b, a) in found
 
 
+def test_block_search_links_what_brute_force_links():
+    r = np.random.default_rng(3)
+    base = [r.integers(0, 2**63, int(n), np.int64) for n in (30, 200, 205, 250, 900, 4000)]
+    sets = [np.unique(np.concatenate((b[int(len(b) * cut) :], r.integers(0, 2**63, int(len(b) * new), np.int64)))) for b in base for cut in (0, 0.03, 0.08, 0.2) for new in (0, 0.05, 0.2)]
+    n, comp, block = np.array([len(s) for s in sets]), np.arange(len(sets)), np.zeros(len(sets), np.int64)
+    order = np.argsort(n, kind="stable")
+    sets, n = [sets[i] for i in order], n[order]
+    links = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    for join in (jaccard.JaccardJoin(), jaccard.JaccardJoin(leaf=3, fanout=2)):
+        x, y, likely = jaccard.candidates(block, n, [jaccard._bitmap(s.astype(np.uint64)) for s in sets], comp, join)
+        assert links <= set(zip(x.tolist(), y.tolist(), strict=True))
+        found = jaccard.forest(x, y, likely, comp, sets, 80)
+        assert set(found) <= links and len(found) < len(sets)
+        reach = lambda edges: functools.reduce(lambda g, e: [g[e[0]] if h == g[e[1]] else h for h in g], edges, list(range(len(sets))))
+        groups = lambda g: sorted(tuple(i for i, h in enumerate(g) if h == k) for k in set(g))
+        assert groups(reach(found)) == groups(reach(sorted(links)))
+
+
+def test_large_group_of_copies_gives_few_links(spark):
+    r = random.Random(8)
+    base = words(120, r)
+    rows = []
+    for i in range(300):  # each copy links with the first row, many not with each other
+        w = list(base)
+        for _ in range(2 if i else 0):
+            w[r.randrange(120)] = f"new{i}"
+        rows.append((i, " ".join(w)))
+    join = jaccard.JaccardJoin(block_rows=16)
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in linked_components(spark.createDataFrame(rows, "doc_id long, text string"), join).collect())
+    assert got == brute_components(rows)
+
+
+AWKWARD_NAMES = sorted(set("""k h c n t th size gone kept _h w0 w1 _at _total _src target position taken full extra _size _text _epoch spans copy c_id
+    c_th g_id g_th _th stays times row new stage _u _b _full _extra source_size doc base_failed words_left cleaned once comp least low v component""".split()))
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    a, b, near = words(80), words(80), None
+    near = a[:-1] + ["other"]
+    rows = [(None, " ".join(a)), (None, " ".join(near)), (None, " ".join(b)), (7, " ".join(b)), (7, " ".join(words(60))), (8, None), (8, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(f"has {c}").alias(c) for c in AWKWARD_NAMES])
+    got = one_of_each(df)
+    assert got.columns == df.columns
+    left = got.collect()
+    assert all(x[c] == f"has {c}" for x in left for c in AWKWARD_NAMES)
+    assert sorted((x.doc_id is None, x.doc_id or 0, (x.text or "")[-5:] == "other") for x in left)[:5] == [(False, 7, False), (False, 7, False), (False, 8, False), (False, 8, False), (False, 9, False)]
+    assert sum(x.doc_id is None for x in left) == 1 and {x.text for x in left if x.doc_id == 7} == {rows[3][1], rows[4][1]}
+
+
 def test_components_of_a_long_chain(spark):
     r = random.Random(1)
     ids = [r.randrange(2**60) for _ in range(300)]
