@@ -125,7 +125,7 @@ def test_language_model_scores(spark, odd):
     r = random.Random(4)
     rows = [(i, " ".join(r.choice(VOCABULARY[:80]) for _ in range(60)), None, None, 0) for i in range(120)] + awkward()
     df = spark.createDataFrame(rows, SCHEMA)
-    m = mixing_model.MixModel(classes=2, slot_bits=12, dictionary=40, tasks=2, least_steps=20)
+    m = mixing_model.MixModel(classes=2, slot_bits=14, dictionary=40)
     train = F.coalesce(F.pmod(F.col("doc_id"), F.lit(3)) != 0, F.lit(False))
     got = mixing_model.score(df, train, m).collect()
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -137,24 +137,155 @@ def test_language_model_scores(spark, odd):
     assert all(x.train_tokens == n and x.score < 0 for x in got)
 
 
+def stream(r, n, symbols):
+    """A stream with order, some matches and contexts of the two symbols before."""
+    x = np.zeros(n, np.int32)
+    for i in range(1, n):
+        x[i] = (x[i - 1] * 7 + 1) % symbols if r.random() < 0.6 else r.integers(0, symbols)
+    one, two = np.concatenate(([0], x[:-1])).astype(np.uint32), np.concatenate(([0, 0], x[:-2])).astype(np.uint32)
+    kind = r.integers(0, 2, n)
+    guess = np.where(r.random(n) < 0.5, np.where(r.random(n) < 0.7, x, r.integers(0, symbols, n)), -1).astype(np.int32)
+    return mixing_model.Stream(x, [np.zeros(n, np.uint32), kind.astype(np.uint32) * np.uint32(77), one * np.uint32(99991), one * np.uint32(31337) + two], kind, guess, r.integers(0, 8, n))
+
+
+class PlainMixer:
+    """The same model bit by bit, in plain Python."""
+
+    def __init__(self, mixer):
+        self.t, self.bits, self.w = mixer.tree, mixer.bits, mixer.weights.copy()
+        self.counts = [Counter() for _ in self.bits]
+        self.squares, self.refine, self.hits = np.zeros_like(self.w), np.zeros_like(mixer.refine), mixer.hits.copy()
+
+    def paths(self, e):
+        for i, x in enumerate(e.symbol.tolist()):
+            path, node, alive = [], self.t.root, e.guess[i] >= 0
+            while node:
+                bit, guess = int(x >= node), int(e.guess[i] >= node)
+                slots = [((int(c[i]) + node * 0x2C1B3C6D) * int(salt) & 0xFFFFFFFF) >> (32 - b) for c, salt, b in zip(e.contexts, mixing_model._SALTS, self.bits, strict=True)]
+                path.append((bit, guess, bool(alive), slots))
+                alive = alive and guess == bit
+                node = int(self.t.child[2 * node + bit])
+            yield path
+
+    def inputs(self, i, e, step, quantise):
+        bit, guess, alive, slots = step
+        x, conf = [], []
+        for c, s in zip(self.counts, slots, strict=True):
+            n0, n1 = c[s, 0], c[s, 1]
+            v = math.log((n1 + 0.4) / (n0 + 0.4))
+            if quantise:
+                v = np.rint((min(8, max(-8, v)) + 8) * 511 / 16) * 16 / 511 - 8 if n0 + n1 else 0.0
+            x.append(v)
+            conf.append(sum(n0 + n1 >= k for k in (1, 2, 3, 5, 9, 33, 257)))
+        h1, h = self.hits[e.run[i]]
+        x.append((math.log((h1 + 0.4) / (h - h1 + 0.4)) * (1 if guess else -1)) if alive else 0.0)
+        gate = (conf[2] * 8 + conf[3]) * 2 + alive
+        s = min(12.0, max(-12.0, sum(w * v for w, v in zip(self.w[:, gate], x, strict=True))))
+        return x, gate, s, e.kind[i] * mixing_model.BUCKETS + int(np.rint(s * 2)) + mixing_model.BUCKETS // 2
+
+    def learn(self, e, rate):
+        paths = list(self.paths(e))
+        for depth in range(max(map(len, paths))):
+            live = [(i, p[depth]) for i, p in enumerate(paths) if len(p) > depth]
+            sums, mass, later = Counter(), Counter(), []
+            for i, step in live:
+                x, gate, s, b = self.inputs(i, e, step, False)
+                mass[gate] += 1
+                for k, v in enumerate(x):
+                    sums[k, gate] += (step[0] - 1 / (1 + math.exp(-s))) * v
+                later.append((b, step, e.run[i]))
+            for (k, gate), v in sums.items():
+                g = v / mass[gate]
+                self.squares[k, gate] += g * g
+                self.w[k, gate] += rate * g / (math.sqrt(self.squares[k, gate]) + 1e-6)
+            for b, (bit, guess, alive, slots), run in later:
+                self.refine[b] += bit, 1
+                if alive:
+                    self.hits[run] += guess == bit, 1
+                for c, s in zip(self.counts, slots, strict=True):
+                    c[s, bit] += 1
+
+    def cost(self, e):
+        for i, path in enumerate(self.paths(e)):
+            total = 0.0
+            for step in path:
+                _, _, s, b = self.inputs(i, e, step, True)
+                p, (ones, all_) = 1 / (1 + math.exp(-s)), self.refine[b]
+                p = 0.5 * p + 0.5 * (ones + 4 * p) / (all_ + 4)
+                total += math.log(p if step[0] else 1 - p)
+            yield total
+
+
+def learnt(symbols=40):
+    r = np.random.default_rng(2)
+    mixer = mixing_model.Mixer(mixing_model.SymbolTree(r.integers(1, 200, symbols)), [10, 10, 12, 12], 2, 0.35).begin()
+    plain, e = PlainMixer(mixer), stream(r, 700, symbols)
+    for _, chunk in e.chunks(100):
+        mixer.learn(chunk, 0.05)
+        plain.learn(chunk, 0.05)
+    mixer.states = [mixing_model.quantised(c.reshape(-1, 2)) for c in mixer.counts]
+    return r, mixer, plain, e
+
+
+def test_mixer_equals_a_plain_version():
+    r, mixer, plain, e = learnt()
+    assert [int(c.sum()) for c in mixer.counts] == [sum(c.values()) for c in plain.counts]
+    assert np.abs(mixer.weights - plain.w).max() < 1e-4 and np.abs(mixer.hits - plain.hits).max() == 0
+    new = stream(r, 300, 40)
+    got, want = mixer.cost(new), np.array(list(plain.cost(new)))
+    close = np.abs(got - want) < 1e-3  # a prediction on the edge of a bucket may fall to either side
+    assert close.mean() > 0.97 and abs(got.sum() - want.sum()) < 0.5
+    assert got.sum() < 0 and got.mean() > math.log(1 / 40)
+
+
 def test_mixer_gives_probabilities():
-    """Over all continuations of a prefix the bits' probabilities sum to one, whatever the model has learnt."""
-    m = mixing_model.MixModel(slot_bits=10, classes=1)
-    mixer = mixing_model.Mixer.fresh(m)
-    seen = [b"abc", b"abd", b"b", b""]
-    e = mixing_model.Events.of(seen, np.zeros(4, np.int64))
-    mixer.count(e, np.array([5, 3, 2, 9]))
-    mixer.learn(e, np.array([5, 3, 2, 9]), 0.05, np.zeros_like(mixer.weights))
-    first = [bytes([b]) for b in range(256)]
-    ev = mixing_model.Events.of(first, np.zeros(256, np.int64))
-    per_byte = np.zeros(256)
-    for i in range(256):
-        one = mixing_model.Events.of([first[i]], np.zeros(1, np.int64))
-        one.data, one.word, one.class_ = one.data[:1], one.word[:1], one.class_[:1]
-        one.contexts = [c[:1] for c in one.contexts]
-        per_byte[i] = 10 ** mixer.bits_of(one, 1)[0]
-    assert len(ev.data) == 512 and per_byte.sum() == pytest.approx(1, abs=1e-3)
-    assert per_byte[ord("a")] > per_byte[ord("z")]
+    """Over all symbols the probabilities sum to one in any context, whatever the model has learnt."""
+    r, mixer, _, e = learnt()
+    for at in range(0, 700, 50):
+        every = mixing_model.Stream(np.arange(40, dtype=np.int32), *[np.repeat(x[at], 40) if isinstance(x, np.ndarray) else [np.repeat(c[at], 40) for c in x] for x in (e.contexts, e.kind, e.guess, e.run)])
+        assert np.exp(mixer.cost(every)).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_symbol_tree_has_short_paths_for_frequent_symbols():
+    r = np.random.default_rng(0)
+    for w in (np.array([1]), np.array([3, 1]), np.ones(1000, np.int64), r.zipf(1.5, 3000).clip(max=10**6)):
+        t = mixing_model.SymbolTree(w)
+        for x in r.integers(0, len(w), 50).tolist():
+            node, depth = t.root, 0
+            while node:
+                node, depth = int(t.child[2 * node + (x >= node)]), depth + 1
+            assert depth == t.depth[x]
+        share = w / w.sum()
+        assert (share * t.depth).sum() <= -(share * np.log2(share)).sum() + 1
+
+
+def test_word_index_finds_all_and_only_its_keys():
+    keys = np.random.default_rng(1).integers(0, 2**63, 5000, np.int64).astype(np.uint64)
+    index = mixing_model.WordIndex(keys[:4000])
+    assert index.find(keys).tolist() == [*range(4000), *[-1] * 1000]
+    assert mixing_model.WordIndex(keys[:0]).find(keys[:3]).tolist() == [-1, -1, -1]
+
+
+def test_order_of_words_counts(spark):
+    r = random.Random(6)
+    chain = {w: r.sample(VOCABULARY[:200], 3) for w in VOCABULARY[:200]}
+
+    def walk(n):
+        out = [VOCABULARY[0]]
+        while len(out) < n:
+            out.append(r.choice(chain[out[-1]]))
+        return out
+
+    rows = [(i, " ".join(walk(100))) for i in range(200)] + [(1000 + i, " ".join(walk(100))) for i in range(5)]
+    rows += [(i + 1000, " ".join(r.sample(t.split(" "), 100))) for i, t in rows[200:]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit("x").alias(c) for c in CLASHING + ["score", "rare", "base", "n_known", "class"]])
+    got = {x.doc_id: x for x in mixing_model.score(df, F.col("doc_id") < 1000, mixing_model.MixModel(classes=2)).collect()}
+    assert all(got[1000 + i].score > 0.7 * got[2000 + i].score and abs(got[1000 + i].base_score - got[2000 + i].base_score) < 1e-9 for i in range(5))
+
+
+def test_held_out_scores_beat_the_unigram_base(spark, sf_dir):
+    got = queries.op2_context_mixing(spark, sf_dir).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert got["s"] > got["b"]
 
 
 # 3. substring dedup
@@ -644,6 +775,6 @@ def test_pipeline_stages(spark, sf_dir):
 
 def test_model_counts_nothing_without_training(spark):
     df = spark.createDataFrame([(1, "a b", None, None, 0)], SCHEMA)
-    m = mixing_model.MixModel(classes=2, slot_bits=8, dictionary=10, tasks=1, least_steps=2)
+    m = mixing_model.MixModel(classes=2, slot_bits=12, dictionary=10)
     r = mixing_model.score(df, F.lit(False), m).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0)
