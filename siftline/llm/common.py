@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -57,9 +58,12 @@ def unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, by spark.checkpoint.dir. Only where all run in one process may the
+    session leave it out; then it is a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(spark, "_siftline_dir", None)
         if found is None:
             found = spark._siftline_dir = tempfile.mkdtemp(prefix="siftline-")
@@ -67,26 +71,68 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_written: list[str] = []
+#: Tables are broadcast up to so many rows and elements of their arrays, tens of bytes each; beyond, they are shuffled.
+BROADCAST_ROWS = 500_000
 
+_written: dict[str, list[tuple[SparkSession, str]]] = {}
+_scopes = [""]
 
-def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: cuts lineage, survives lost executors.
 
-    Tables stay until release(), which leaves those with keep alone.
-    """
+@contextlib.contextmanager
+def scope(name: str):
+    """What is materialised inside can be deleted by this name."""
+    _scopes.append(name)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+
+
+#: Rows of an Arrow batch at most: texts, bitmaps and lists of hashes are kilobytes each, in several copies.
+BATCH_ROWS = 2000
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    if before is None or not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder as Parquet and read it back: cuts lineage, survives lost executors. Tables stay until
+    their scope is released or the driver's process ends."""
     path = f"{shared_dir(df.sparkSession)}/siftline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not keep:
-        _written.append(path)
+    with _small_batches(df.sparkSession):
+        df.write.parquet(path)
+    _written.setdefault(_scopes[-1], []).append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables so far. Only for callers whose results have been written already."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(name: str) -> None:
+    """Delete the tables of a scope. Only for callers that have written all results that read them."""
+    for spark, path in _written.pop(name, []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _release_all() -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        for name in list(_written):
+            release(name)
+
+
+def bounded(df: DataFrame, array: str | None = None) -> DataFrame:
+    """df, written; marked for broadcast if its rows and the elements of the array column are few."""
+    df = materialize(df)
+    size = F.count("*") if array is None else F.count("*") + F.coalesce(F.sum(F.greatest(F.size(array), F.lit(0))), F.lit(0))
+    return F.broadcast(df) if df.agg(size).first()[0] <= BROADCAST_ROWS else df
 
 
 def hash_bucket(u: Column, buckets: int = PREFIX_BUCKETS) -> Column:
@@ -94,13 +140,14 @@ def hash_bucket(u: Column, buckets: int = PREFIX_BUCKETS) -> Column:
     return F.shiftright(u, 64 - (buckets.bit_length() - 1)) + F.lit(buckets // 2)
 
 
-def prefix_sums(df: DataFrame, keys: list[str], order: list[str], bucket: str, values: dict[str, str]) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: list[str], order: list[str], bucket: str, values: dict[str, str], narrow: DataFrame | None = None) -> DataFrame:
     """Exclusive running sums within each key, without putting a key's rows into one task.
 
     bucket: an integer column that rises with the order within a key; sums of buckets are added up first, then rows
     within their bucket. values: name of the new column -> column to sum (null counts as 0). Nulls in keys are a key.
+    narrow: the same rows with fewer columns, for the sums of buckets.
     """
-    sums = df.groupBy(*keys, bucket).agg(*[F.sum(v).alias(f"_s_{n}") for n, v in values.items()])
+    sums = (df if narrow is None else narrow).groupBy(*keys, bucket).agg(*[F.sum(v).alias(f"_s_{n}") for n, v in values.items()])
     over = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         *[F.col(k).alias(f"_k_{k}") for k in [*keys, bucket]],

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import field, materialize, only_columns, packed, unpacked
+from .common import bounded, field, materialize, only_columns, packed, unpacked
 from .components import components
 from .tokens import U, mix, shingles, text_pieces, word_hashes
 
@@ -263,19 +263,10 @@ def forest(x: np.ndarray, y: np.ndarray, likely: np.ndarray, comp: np.ndarray, s
     return out
 
 
-#: Row ids to fetch are broadcast up to this many (24 bytes each), else joined by a shuffle of what they fetch.
-BROADCAST_ROWS = 500_000
-
-
-def _small(ids: DataFrame) -> DataFrame:
-    ids = materialize(ids)
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-
 def _map_table(signatures: DataFrame, wanted: DataFrame) -> DataFrame:
     """(bc, bits) of the sets in wanted(c)."""
     one = signatures.where("bits is not null").groupBy("c").agg(F.min("row").alias("row")).join(wanted, "c", "left_semi").select("row")
-    return signatures.where("bits is not null").join(_small(one), "row").select(F.col("c").alias("bc"), "bits")
+    return signatures.where("bits is not null").join(bounded(one), "row").select(F.col("c").alias("bc"), "bits")
 
 
 def _n_pieces(join: JaccardJoin) -> Column:
@@ -405,10 +396,13 @@ def _links(members: DataFrame, sets: DataFrame, join: JaccardJoin) -> DataFrame:
     return _by_piece(rows, ["g", "i", "j"], found, "a long, b long").distinct()
 
 
+STEP = 2048
+
+
 def _with_end(batches) -> Iterator[pa.Table | None]:
     for batch in batches:
-        if batch.num_rows:
-            yield pa.Table.from_batches([batch])
+        for at in range(0, batch.num_rows, STEP):  # what is worked on at once is copied
+            yield pa.Table.from_batches([batch.slice(at, STEP)])
     yield None
 
 
@@ -429,7 +423,7 @@ def _set_table(docs: DataFrame, signatures: DataFrame, wanted: DataFrame, join:
             yield pa.RecordBatch.from_arrays([part.column("c"), lists], ["sc", "s"])
 
     one = signatures.where("n > 0").join(wanted, "c", "left_semi").groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("x"))
-    h = _small(one.select("c", F.col("x.doc_id").alias("h_id"), F.col("x.th").alias("h_th")))
+    h = bounded(one.select("c", F.col("x.doc_id").alias("h_id"), F.col("x.th").alias("h_th")))
     texts = docs.join(h, docs["doc_id"].eqNullSafe(h["h_id"]) & (docs["th"] == h["h_th"])).select("c", "text")
     return texts.mapInArrow(run, "sc long, s array<long>")
 
@@ -485,7 +479,7 @@ def one_of_each(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> DataFrame
     found = materialize(_labelled(docs, join))
     first = F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("th") == F.col("least_th"))
     worded = found.where("n > 0").groupBy("doc_id", "th").agg(F.min(first).alias("stays"), F.count("*").alias("times"))
-    marked = _small(worded.where("not stays or times > 1").select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), "stays"))
+    marked = bounded(worded.where("not stays or times > 1").select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), "stays"))
     d = packed(docs).select("row", field(docs, "doc_id").cast("long").alias("doc_id"), F.xxhash64(field(docs, "text")).alias("th"))
     d = d.join(marked, d["doc_id"].eqNullSafe(marked["g_id"]) & (d["th"] == marked["g_th"]), "left")
     once = d.where("stays is null").select("row")

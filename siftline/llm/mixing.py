@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import GAP, hash_bucket, prefix_sums, word_count
+from .common import GAP, field, hash_bucket, materialize, packed, prefix_sums, unpacked, word_count
 
 
 @dataclass(frozen=True)
@@ -48,50 +48,59 @@ def when_consumed(share: Column, w0: Column, w1: Column) -> Column:
     return 2 * share * mean / (w0 + F.sqrt(F.greatest(F.lit(0.0), w0 * w0 + 2 * (w1 - w0) * share * mean)))
 
 
+def _planned(docs: DataFrame, plan: MixPlan, carry: bool) -> DataFrame:
+    """The columns of plan_mix, and at, w0, w1; with carry also `row`, all columns of docs, which can't clash with them.
+    Words are counted once and written; rows with their texts are read once more only where they are carried."""
+    d = packed(docs).select("row", *[field(docs, c).alias(c) for c in ("doc_id", "source")], field(docs, "text").cast("string").alias("_text"))
+    d = d.select("row", "doc_id", "source", word_count(F.col("_text")).alias("size"), F.xxhash64("doc_id", F.xxhash64("_text")).alias("u"))
+    d = d.withColumn("b", hash_bucket(F.col("u")))
+    narrow = materialize(d.drop("row"))
+    t = source_targets(narrow.groupBy("source").agg(F.sum("size").cast("double").alias("source_size")), plan)
+    t = t.select(F.col("source").alias("t_source"), F.col("source_size").alias("total"), "target", "w0", "w1")
+    d = prefix_sums(d if carry else narrow, ["source"], ["u", "doc_id", "size"], "b", {"at": "size"}, narrow)
+    j = d.join(t, F.col("source").eqNullSafe(F.col("t_source")))
+    full = F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(0)
+    rest = F.floor(F.col("target")) - full * F.col("total").cast("long")
+    extra = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("at")))
+    j = j.withColumns({"full": full.cast("long"), "extra": extra.cast("long")})
+    taken = F.col("full") * F.col("size") + F.col("extra")
+    position = F.when(taken > 0, when_consumed(F.col("at") / F.col("target"), F.col("w0"), F.col("w1")))
+    return j.select(
+        *(["row"] if carry else []), "doc_id", "source", "size", F.col("total").cast("long").alias("source_size"), "target", taken.alias("taken"), position.alias("position"), "full", "extra", "at", "w0", "w1"
+    )
+
+
 def plan_mix(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
-    """Adds to documents(doc_id, text, source): size, source_size, target, taken (words) and position in training.
+    """doc_id, source, size, source_size, target, taken (words), position in training, full (whole repeats) and extra (words of a
+    partial one) for documents(doc_id, text, source).
 
     Documents of a source stand in the order of a hash; running word counts (by hash buckets, so a hot source is spread
     over tasks) give what each takes: whole repeats first, then the remainder of the target from the start of the
     order, the last document in part. So a source takes its target exactly, rounded down. position: the time at which
     the schedule reaches the document's first word; null if nothing is taken. Null texts have size 0; null source is a
-    source; repeated rows are documents of their own; an empty table stays empty; other columns stay as they are.
+    source; repeated rows are documents of their own; an empty table stays empty; other columns are ignored, whatever
+    their names.
     """
-    d = docs.withColumns({"_size": word_count(F.col("text")), "_u": F.xxhash64("doc_id", F.xxhash64("text"))})
-    d = d.withColumn("_b", hash_bucket(F.col("_u")))
-    sizes = d.groupBy("source").agg(F.sum("_size").cast("double").alias("source_size"))
-    t = source_targets(sizes, plan).select(F.col("source").alias("_src"), F.col("source_size").alias("_total"), F.col("target").alias("_target"), "w0", "w1")
-    d = prefix_sums(d, ["source"], ["_u", "doc_id", "_size"], "_b", {"_at": "_size"})
-    j = d.join(t, F.col("source").eqNullSafe(F.col("_src")))
-    full = F.when(F.col("_total") > 0, F.floor(F.col("_target") / F.col("_total"))).otherwise(0)
-    rest = F.floor(F.col("_target")) - full * F.col("_total").cast("long")
-    extra = F.greatest(F.lit(0), F.least(F.col("_size"), rest - F.col("_at")))
-    j = j.withColumns({"_full": full.cast("long"), "_extra": extra.cast("long")})
-    share = F.col("_at") / F.col("_target")
-    taken = F.col("_full") * F.col("_size") + F.col("_extra")
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "position", "full", "extra", "epoch")]
-    return j.select(
-        *[F.col(f"`{c}`") for c in keep], F.col("_size").alias("size"), F.col("_total").cast("long").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"),
-        F.when(taken > 0, when_consumed(share, F.col("w0"), F.col("w1"))).alias("position"),
-        F.col("_full").alias("full"), F.col("_extra").alias("extra"), F.col("_at").alias("_at"), "w0", "w1",
-    )
+    return _planned(docs, plan, False).drop("at", "w0", "w1")
 
 
 def mixed_documents(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
-    """The mix itself, range-sorted by training position: a row for each repeat of a document, with the columns of docs.
+    """The mix itself, range-sorted by training position: a row for each repeat of a document, with the columns of docs,
+    whatever their names; n_chars follows the text.
 
-    A repeat that takes only part of a document holds its first words (joined by single spaces).
+    A repeat that takes only part of a document holds its first words (joined by single spaces). Documents without words
+    are in no mix; nulls, repeated rows and empty tables as in plan_mix.
     """
-    p = plan_mix(docs, plan)
+    p = _planned(docs, plan, True)
     repeats = F.when(F.col("taken") > 0, F.sequence(F.lit(0), (F.col("full") - F.when(F.col("extra") > 0, 0).otherwise(1)).cast("int")))
-    p = p.withColumn("_epoch", F.explode(repeats))
-    part = (F.col("_epoch") == F.col("full")) & (F.col("extra") < F.col("size"))
-    share = (F.col("_at") + F.col("_epoch") * F.col("source_size")) / F.col("target")
-    text = F.when(part, _first_words(F.col("text"), F.col("extra"))).otherwise(F.col("text"))
-    p = p.withColumns({"_position": when_consumed(share, F.col("w0"), F.col("w1")), "_text": text})
-    p = p.repartitionByRange(F.col("_position")).sortWithinPartitions("_position", "doc_id", "_epoch")
-    changed = {"text": F.col("_text"), "n_chars": F.when(part, F.length("_text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": F.col("_text")}
-    return p.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    p = p.withColumn("epoch", F.explode(repeats))
+    part = (F.col("epoch") == F.col("full")) & (F.col("extra") < F.col("size"))
+    share = (F.col("at") + F.col("epoch") * F.col("source_size")) / F.col("target")
+    p = p.withColumns({"position": when_consumed(share, F.col("w0"), F.col("w1")), "new": F.when(part, _first_words(field(docs, "text"), F.col("extra")))})
+    p = p.repartitionByRange(F.col("position")).sortWithinPartitions("position", "doc_id", "epoch")
+    whole = F.col("new").isNull()
+    changed = {"text": F.coalesce("new", field(docs, "text")), "n_chars": F.when(whole, field(docs, "n_chars")).otherwise(F.length("new")).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return unpacked(p, docs, **changed)
 
 
 def _first_words(text: Column, n: Column) -> Column:

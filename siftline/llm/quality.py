@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, materialize, only_columns, word_array
+from .common import BLANKS, bounded, field, let, only_columns, packed, unpacked, word_array
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -154,19 +154,17 @@ def quality_rules(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFra
     return j.select("doc_id", *BASE, "base_failed", "kept", "words_left", "n_lines_removed", "cleaned")
 
 
-#: Rows of changed documents are broadcast up to this many, else joined by a shuffle of the texts.
-BROADCAST_ROWS = 200_000
-
-
 def keep_good(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """The documents that pass, without their boilerplate lines; all their columns stay, n_chars follows the text."""
+    """The documents that pass, without their boilerplate lines; all their columns stay, whatever their names, and n_chars
+    follows the text. Null, empty and short texts fail the base rules; of repeated rows all stay or none; an empty table
+    stays empty."""
     d = only_columns(docs, "doc_id", "text", "source")
     j = without_lines(base_metrics(d), _removed(d, limits), limits, keep_lines=True)
     changed = j.where("not kept or gone is not null").groupBy(F.col("doc_id").alias("k"), F.xxhash64("source", "text").alias("h")).agg(F.first("kept").alias("kept"), F.first("gone").alias("gone"))
-    changed = materialize(changed)
-    changed = F.broadcast(changed) if changed.count() <= BROADCAST_ROWS else changed
-    rows = docs.withColumn("_h", F.xxhash64("source", "text"))
-    rows = rows.join(changed, rows["doc_id"].eqNullSafe(changed["k"]) & (rows["_h"] == changed["h"]), "left").where("coalesce(kept, true)")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("gone")))
-    out = {"text": text, "n_chars": F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None}
-    return rows.select(*[(out[c] if c in out else rows[f"`{c}`"]).alias(c) for c in docs.columns])
+    changed = bounded(changed, "gone")
+    rows = packed(docs)
+    text, key = field(docs, "text"), F.xxhash64(field(docs, "source"), field(docs, "text"))
+    rows = rows.join(changed, field(docs, "doc_id").eqNullSafe(changed["k"]) & (key == changed["h"]), "left").where("coalesce(kept, true)")
+    whole = F.col("gone").isNull()
+    new = F.when(whole, text).otherwise(without(text, F.col("gone")))
+    return unpacked(rows, docs, text=new, n_chars=F.when(whole, field(docs, "n_chars")).otherwise(F.length(new)).cast(dict(docs.dtypes).get("n_chars", "long")))

@@ -99,7 +99,7 @@ from said2 s join sizes z on s.conv_id is not distinct from z.conv_id
 
 @query
 def op6_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    p = plan_mix(table(spark, sf_dir, "documents"))
     return p.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position")
 
 

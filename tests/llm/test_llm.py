@@ -417,6 +417,53 @@ def test_texts_meet_on_a_passage_of_frequent_lines(spark):
     assert got == set(pairs)
 
 
+def test_decoys_of_30_words_hide_no_passage_of_100(spark):
+    r = random.Random(11)
+    said, rows = words(100, r), []
+    for i in range(2):
+        rows.append((i, " ".join(words(30, r) + said + words(30, r))))
+    for at in range(0, 80, 10):
+        rows += [(len(rows) + j, " ".join(words(30, r) + said[at : at + 30] + words(30, r))) for j in range(20)]
+    got = substrings.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(sorted((x.doc_id, x.match_doc_id))) for x in got} == {(0, 1)}
+    assert all(x.end - x.start == 100 and x.same == 100 for x in got)
+
+
+def test_every_text_of_a_passage_has_a_row(spark):
+    """Against brute force over all pairs: each text but one of those that share 50 words or more is reported, at all those words."""
+    r, rows = random.Random(12), []
+    for size, n in ((50, 5), (51, 2), (64, 9), (120, 3), (400, 4)):
+        said = words(size, r)
+        for _ in range(n):
+            rows.append((len(rows), words(r.randrange(5, 60), r) + said + words(r.randrange(5, 60), r)))
+    rows.append((len(rows), rows[0][1][:70] + rows[-1][1][20:300]))
+    shared = {}
+    for i, x in rows:
+        for j, y in rows:
+            if i != j:
+                at = {tuple(y[b : b + 50]) for b in range(len(y) - 49)}
+                for a in range(len(x) - 49):
+                    if tuple(x[a : a + 50]) in at:
+                        shared.setdefault(tuple(x[a : a + 50]), set()).update({(i, a), (j, None)})
+    got = substrings.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    inside = lambda i, a: any(x.doc_id == i and x.start <= a and a + 50 <= x.end for x in got)
+    for window, places in shared.items():
+        texts = {i for i, _ in places}
+        missed = [i for i in texts if not any(inside(i, a) for k, a in places if k == i and a is not None)]
+        assert len(missed) <= 1, (window[:3], texts, missed)
+    assert all(x.same >= 0.8 * (x.end - x.start) for x in got)
+
+
+def test_alignments_go_beyond_their_reach(spark):
+    r = random.Random(13)
+    said = words(600, r)
+    rows = [(i, " ".join(words(20, r) + said + words(20, r))) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sparse = {"share": 0.0, "window": 150, "long": (), "max_gap": 400}
+    got = [sorted((x.doc_id, x.start, x.end, x.match_start, x.match_end, x.same) for x in substrings.passages(df, substrings.Passages(reach=n, **sparse)).collect()) for n in (3, 10**6)]
+    assert got[0] == got[1] and got[0][0][-1] >= 600
+
+
 def test_minimisers_leave_no_window_empty():
     r = np.random.default_rng(1)
     for n in (1, 5, 16, 17, 200):
@@ -757,13 +804,26 @@ def test_language_is_told_on_held_out_documents(spark, odd, none):
 # pipeline
 
 
+def test_stages_leave_columns_of_any_name_alone(spark, corpus):
+    rows = [r[:5] for r in corpus[0]][:150] + awkward() + [(None, "\n".join(" ".join(words(30)) for _ in range(3)), "en", None, 7)]
+    plain = spark.createDataFrame(rows, SCHEMA)
+    odd = plain.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce("source", F.lit("none"))).alias(c) for c in AWKWARD_NAMES])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, want = stage(spark, odd, ""), stage(spark, plain, "")
+        assert got.columns == odd.columns and got.dtypes[:5] == plain.dtypes, name
+        got = got.collect()
+        assert all(x[c] == f"{c} {x.source or 'none'}" for x in got for c in AWKWARD_NAMES), name
+        assert Counter(tuple(x)[:5] for x in got) == Counter(map(tuple, want.collect())), name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, "").count() == corpus_pipeline.STAGES[-1][1](spark, plain, "").count()
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, before = docs.columns, {r.doc_id for r in docs.collect()}
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(corpus_pipeline.STAGES) - 1:
-            docs = corpus_pipeline.materialize(docs, keep=True)
+            docs = corpus_pipeline.materialize(docs)
             assert docs.columns == columns
             ids = {r.doc_id for r in docs.collect()}
             assert ids <= before and len(ids) >= 0.75 * len(before)
