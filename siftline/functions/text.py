@@ -62,6 +62,21 @@ def error_lines(text: Column) -> Column:
     return F.filter(found, lambda m, i: F.array_position(F.transform(found, lambda x: F.trim(x)), F.trim(m)) == i + 1)
 
 
+def output_error_lines(text: Column) -> Column:
+    """error_lines of a test's output, and its two forms of Failed; the second form becomes `Failed:`."""
+    kinds = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in [*ERROR_LINES, FAILED_LINES[0]]]))
+    first = F.filter(kinds, lambda m, i: F.array_position(F.transform(kinds, lambda x: F.trim(x)), F.trim(m)) == i + 1)
+    seen = F.transform(first, lambda x: F.trim(x))
+    last = F.filter(F.regexp_extract_all(text, F.lit(FAILED_LINES[1]), F.lit(1)), lambda m: ~F.array_contains(seen, F.trim(m)))
+    return F.concat(first, F.transform(last, lambda m: F.lit("Failed:")))
+
+
+def all_messages(traced: Column, lines: Column) -> Column:
+    """Messages of stack traces, then error lines that equal none of them up to blanks at the ends."""
+    seen = F.transform(traced, lambda x: F.trim(x))
+    return F.concat(traced, F.filter(lines, lambda m: ~F.array_contains(seen, F.trim(m))))
+
+
 def error_type(message: Column) -> Column:
     return F.substring_index(message, ":", 1)
 
@@ -196,6 +211,71 @@ def requirement_lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: ~(F.trim(x).startswith("-e .") | F.trim(x).startswith("#") | F.trim(x).startswith(".[test") | (F.trim(x) == "")))
 
 
+#: Words of a path or a name that make it one of tests.
+TEST_WORDS = ["test", "tests", "testing"]
+
+#: Begins of paths that hold no sources to search.
+EXCLUDED_PREFIXES = [
+    "build", "doc", "requests/packages", "tests/regrtest_data", "tests/input", "tests/functional", "tests/roots",
+    "sphinx/templates/latex", "tests/test_runner_apps/tagged/", "django/conf/app_template/",
+]
+
+
+def is_test(name: Column) -> Column:
+    """Whether any word of a path or a name is one of tests."""
+    return F.arrays_overlap(F.split(F.lower(name), r" |_|/|\."), F.array(*[F.lit(w) for w in TEST_WORDS]))
+
+
+def is_searched(path: Column, project: Column | None = None) -> Column:
+    """Whether a path is one of sources to search: none of the excluded begins, and no tests, but for pytest's own."""
+    out = F.lit(False)
+    for e in EXCLUDED_PREFIXES:
+        out = out | path.startswith(e)
+    tests = path.startswith("test") | path.startswith("unittest_")
+    return ~out & (~tests if project is None else ~tests | project.contains("pytest"))
+
+
+def mentions_import_error(log: Column) -> Column:
+    """Whether any line mentions attribute or import, and any such line error or fail."""
+    lines = F.filter(F.split(F.lower(log), "\n"), lambda x: x.contains("attribute") | x.contains("import"))
+    return F.exists(lines, lambda x: x.contains("error") | x.contains("fail"))
+
+
+def mask_ids(output: Column, failed_id: Column) -> Column:
+    """A test's output with its id, name and path as [TEST_ID], [TEST_NAME] and [TEST_PATH]; ids are `path::name ...` or
+    `name (module.Class)`."""
+    first = F.element_at(F.split(F.trim(failed_id), " "), 1)
+    colons, dotted = F.split(first, "::"), F.element_at(F.split(F.element_at(F.split(F.trim(failed_id), r"\)"), 1), r"\("), -1)
+    parts = F.split(dotted, r"\.")
+    path = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
+    old = failed_id.contains("::")
+    mask = lambda s, what, to: F.when(F.length(what) > 0, F.replace(s, what, F.lit(to))).otherwise(s)
+    out = mask(output, F.when(old, F.element_at(colons, 1)).otherwise(dotted), "[TEST_ID]")
+    out = mask(out, F.when(old, F.try_element_at(colons, F.lit(2))).otherwise(first), "[TEST_NAME]")
+    return mask(out, F.when(~old, path), "[TEST_PATH]")
+
+
+def code_blocks(text: Column) -> Column:
+    """(start, end, content) of fenced blocks: lines from 0, from the line behind the opening fence, end exclusive; blocks in
+    one line have none."""
+    lines = F.split(text, "\n")
+
+    def block(b: Column) -> Column:
+        inside = F.split(b, "\n")
+        start = F.array_position(lines, F.try_element_at(inside, F.lit(2))).cast("int") - 1
+        end = start + F.size(inside) - 2
+        return F.struct(start.alias("start"), end.alias("end"), F.array_join(F.slice(lines, start + 1, end - start), "\n").alias("content"))
+
+    found = F.regexp_extract_all(text, F.lit(r"(?s)(```.*?```)"), F.lit(1))
+    return F.transform(F.filter(found, lambda b: b.contains("\n")), block)
+
+
+def tagged_code(text: Column) -> Column:
+    """What the last <code> tag holds; the text itself, if there is none."""
+    inside = F.element_at(F.split(F.element_at(F.split(text, "<code>"), -1), "</code>"), 1)
+    return F.when(text.contains("<code>"), inside).otherwise(text)
+
+
 def project_of(instance_id: Column) -> Column:
     """Project of an id `owner__project-123`."""
     return F.regexp_replace(F.element_at(F.split(instance_id, "__"), -1), r"-\d+$", "")

@@ -17,21 +17,22 @@ def document_frequency(docs: DataFrame) -> DataFrame:
 def scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id, score) of every query(item_id, tokens) and document(doc_id, tokens) that share a term.
 
-    Query terms repeat; unknown ones add nothing; terms in more than half of the documents get the floor value. Only
-    the terms of queries are followed into documents; statistics cover all documents.
+    Query terms repeat; unknown ones add nothing; terms in more than half of the documents get the floor value. Documents
+    are tokenised twice: once for all statistics (a null token counts documents and their lengths), once for the terms of
+    queries, which are joined before anything is grouped.
     """
-    df = document_frequency(docs)
-    about = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    raw = df.crossJoin(F.broadcast(about.select("n"))).select("token", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
+    each = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.lit(0).cast("long").alias("dl")))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("token"), F.size("tokens").cast("long").alias("dl")))
+    counted = docs.select(F.explode(F.concat(each, whole)).alias("x")).groupBy("x.token").agg(F.count("*").alias("df"), F.sum("x.dl").alias("dl"))
+    about = counted.where("token is null").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    raw = counted.where("token is not null").crossJoin(F.broadcast(about)).select("token", "avgdl", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     eps = raw.agg((EPSILON * F.avg("raw")).alias("eps"))
     asked = queries.select("item_id", F.explode("tokens").alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("times"))
     idf = raw.join(asked.select("token").distinct(), "token", "left_semi").crossJoin(F.broadcast(eps))
-    idf = idf.select("token", F.when(F.col("raw") < 0, F.col("eps")).otherwise(F.col("raw")).alias("idf"))
+    idf = idf.select("token", "avgdl", F.when(F.col("raw") < 0, F.col("eps")).otherwise(F.col("raw")).alias("idf"))
     held = docs.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).join(idf, "token")
-    tf = held.groupBy("doc_id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("idf").alias("idf"))
-    part = tf.crossJoin(F.broadcast(about.select("avgdl"))).select(
-        "doc_id", "token", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w")
-    )
+    tf = held.groupBy("doc_id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("idf").alias("idf"), F.first("avgdl").alias("avgdl"))
+    part = tf.select("doc_id", "token", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w"))
     return asked.join(part, "token").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("times") * F.col("w")), 6).alias("score"))
 
 
@@ -40,10 +41,18 @@ def top_k(scored: DataFrame, k: int, by: str = "score", keys: str = "item_id", t
     return scored.withColumn("rnk", rank).where(F.col("rnk") <= k)
 
 
-def with_zeros(scored: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Every query with every document; 0 where they share no term. For the few queries of a session."""
-    every = queries.select("item_id").crossJoin(docs.select("doc_id"))
-    return every.join(scored, ["item_id", "doc_id"], "left").select("item_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+def positive(scored: DataFrame, by: str = "score") -> DataFrame:
+    return scored.where(F.col(by) > 0)
+
+
+def min_max_of(scored: DataFrame, docs: DataFrame, value: str, out: str) -> DataFrame:
+    """min_max within item_id over all of docs: those without a row in scored count as 0, and get none."""
+    w = Window.partitionBy("item_id")
+    some = F.count("*").over(w) < F.col("_n")
+    lo = F.when(some, F.least(F.lit(0.0), F.min(value).over(w))).otherwise(F.min(value).over(w))
+    hi = F.when(some, F.greatest(F.lit(0.0), F.max(value).over(w))).otherwise(F.max(value).over(w))
+    rows = scored.crossJoin(F.broadcast(docs.agg(F.count("*").alias("_n"))))
+    return rows.withColumn(out, F.when(hi > lo, F.round((F.col(value) - lo) / (hi - lo), 6)).otherwise(0.0)).drop("_n")
 
 
 def min_max(df: DataFrame, value: str, out: str, keys: str) -> DataFrame:
@@ -57,8 +66,9 @@ def soft_max(df: DataFrame, value: str, out: str, keys: str) -> DataFrame:
     return df.withColumn(out, F.round(F.exp(value) / F.sum(F.exp(value)).over(Window.partitionBy(keys)), 6))
 
 
-def blend(name: DataFrame, code: DataFrame, weight: float = 0.5) -> DataFrame:
-    """name_sim and code_sim blended and scaled again as sem."""
-    both = min_max(name, "score", "name_sim", "item_id").drop("score").join(min_max(code, "score", "code_sim", "item_id").drop("score"), ["item_id", "doc_id"])
+def blend(name: DataFrame, code: DataFrame, docs: DataFrame, weight: float = 0.5) -> DataFrame:
+    """name_sim and code_sim of all that share a term with either, blended and scaled again as sem."""
+    a, b = min_max_of(name, docs, "score", "name_sim").drop("score"), min_max_of(code, docs, "score", "code_sim").drop("score")
+    both = a.join(b, ["item_id", "doc_id"], "full").select("item_id", "doc_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("name_sim", "code_sim")])
     both = both.withColumn("_raw", weight * F.col("name_sim") + (1 - weight) * F.col("code_sim"))
-    return min_max(both, "_raw", "sem", "item_id").drop("_raw")
+    return min_max_of(both, docs, "_raw", "sem").drop("_raw")

@@ -57,3 +57,9 @@ def hunk_header(old_start: Column, new_start: Column, lines: Column) -> Column:
     """Header of a hunk whose lines are an array: counts made again from their first characters."""
     n = lambda *heads: F.size(F.filter(lines, lambda x: F.substring(x, 1, 1).isin(*heads))).cast("string")
     return F.concat(F.lit("@@ -"), old_start.cast("string"), F.lit(","), n(" ", "-"), F.lit(" +"), new_start.cast("string"), F.lit(","), n(" ", "+"), F.lit(" @@"))
+
+
+def running_delta(hunks: DataFrame) -> DataFrame:
+    """Adds delta: lines that earlier hunks(patch, pos, added, removed) of the patch add or take away."""
+    before = Window.partitionBy("patch").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return hunks.withColumn("delta", F.coalesce(F.sum(F.col("added") - F.col("removed")).over(before), F.lit(0)).cast("long"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -95,3 +95,46 @@ def jaccard(sets: DataFrame, limit: float, keys: str) -> DataFrame:
     fits = (F.col("doc_a") < F.col("doc_b")) & (F.least("na", "nb") > limit * F.greatest("na", "nb"))
     both = x.join(y, [keys, "token"]).where(fits).groupBy("doc_a", "doc_b").agg(F.count("*").alias("i"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return both.select("doc_a", "doc_b", F.round(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), 6).alias("j")).where(F.col("j") > limit)
+
+
+def nodes_in_files(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(name, file, node_id): nodes(node_id, name, path) of a wanted(name, file) whose path contains the file."""
+    n = nodes.select("node_id", F.col("name").alias("n_name"), "path")
+    return wanted.join(n, (F.col("name") == F.col("n_name")) & F.col("path").contains(F.col("file"))).select("name", "file", "node_id")
+
+
+def membership_flags(tests: DataFrame, related: DataFrame) -> DataFrame:
+    """tests(name, file) with same_name and same_file: whether any related(name, file) has them."""
+    out = tests
+    for c in ("name", "file"):
+        have = related.where(F.col(c).isNotNull()).select(F.col(c).alias("r_key")).distinct().withColumn("r_has", F.lit(True))
+        out = out.join(have, out[c] == have["r_key"], "left").withColumn(f"same_{c}", F.coalesce("r_has", F.lit(False))).drop("r_key", "r_has")
+    return out
+
+
+def first_definitions(names: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(name, path): for each names(name) the first path, in order, of definitions(name, path); null if there is none."""
+    first = definitions.groupBy("name").agg(F.min("path").alias("path"))
+    return names.select("name").distinct().join(first, "name", "left")
+
+
+def split_callable(name: Column) -> tuple[Column, Column]:
+    """(class or empty, function) of `Class.f`, `Class::f` or `f`."""
+    parts = F.split(name, r"\.|::")
+    return F.when(F.size(parts) > 1, F.element_at(parts, 1)).otherwise(""), F.element_at(parts, -1)
+
+
+def read_functions(asked: DataFrame, callables: DataFrame) -> DataFrame:
+    """asked(file, function) with content, of the first of callables(path, parent, name, start_line, content); else null."""
+    parent, name = split_callable(F.col("function"))
+    c = callables.groupBy(F.col("path").alias("c_path"), F.col("parent").alias("c_parent"), F.col("name").alias("c_name")).agg(F.min_by("content", "start_line").alias("content"))
+    a = asked.withColumns({"a_parent": parent, "a_name": name})
+    on = (F.col("file") == F.col("c_path")) & (F.col("a_parent") == F.col("c_parent")) & (F.col("a_name") == F.col("c_name"))
+    return a.join(c, on, "left").drop("a_parent", "a_name", "c_path", "c_parent", "c_name")
+
+
+def related_tests(wanted: DataFrame, related: DataFrame, callables: DataFrame) -> DataFrame:
+    """(instance_id, file, function, content): of wanted(instance_id) the tests of related(instance_id, tests), an array of
+    (file, function), with their text; instances without any have none."""
+    rows = wanted.select("instance_id").distinct().join(related, "instance_id").select("instance_id", F.explode("tests").alias("t"))
+    return read_functions(rows.select("instance_id", F.col("t.file").alias("file"), F.col("t.function").alias("function")), callables)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.documents import checkpoints
+
 #: Depth at which unfolding stops, least and keyword weights.
 DEPTH, LEAST, KEYWORD, SPAN = 5, 0.1, 1.0, 0.9
 
@@ -124,19 +127,30 @@ def similarities(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, f"root_a {dict(pairs.dtypes)['root_a']}, root_b {dict(pairs.dtypes)['root_b']}, sim double")
 
 
-def closure(edges: DataFrame, roots: DataFrame, rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node): all nodes that roots(root) reach along edges(src, dst), the root included; a join a step, until no
-    step adds any."""
-    seen = roots.select("root", F.col("root").alias("node"))
-    front = seen
-    for _ in range(rounds):
-        front = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        front = front.join(seen, ["root", "node"], "left_anti").checkpoint() if _has_dir(front) else front.join(seen, ["root", "node"], "left_anti")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
+    step adds any. Each front is checkpointed, so that no step computes those before it again."""
+    seen = front = roots.select("root", F.col("root").alias("node")).distinct()
+    with checkpoints(roots.sparkSession):
+        while not front.isEmpty():
+            front = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
+            front = front.join(seen, ["root", "node"], "left_anti").checkpoint()
+            seen = seen.unionByName(front)
     return seen
 
 
-def _has_dir(df: DataFrame) -> bool:
-    return bool(df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir())
+def tree_rows(trees: DataFrame) -> DataFrame:
+    """(root, path, depth, name) of trees(root, tree), a JSON text of name and children, in the form of unfold."""
+
+    def rows(root, node, path):
+        path = [*path, node["name"]]
+        yield root, path, len(path) - 1, node["name"]
+        for child in node.get("children") or []:
+            yield from rows(root, child, path)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = [r for root, tree in zip(f["root"], f["tree"], strict=True) if tree for r in rows(root, json.loads(tree), [])]
+            yield pd.DataFrame(out, columns=["root", "path", "depth", "name"])
+
+    return trees.select("root", "tree").mapInPandas(run, f"root {dict(trees.dtypes)['root']}, path array<string>, depth int, name string")

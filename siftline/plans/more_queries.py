@@ -10,9 +10,9 @@ from ..sources import tables
 from .registry import query, table
 
 
-@query("select c_custkey || '_n' || i as sample from customer, (select unnest(range(1, 4)) as i) where c_custkey <= 500 and not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P' and i = 1)")
+@query("select c_custkey || '_n' || i as sample from customer, (select unnest(range(1, 4)) as i) where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P' and i = 1)")
 def repeat_samples(spark, sf_dir):
-    bugs = table(spark, sf_dir, "customer").where("c_custkey <= 500").select(F.col("c_custkey").cast("string").alias("instance_id"))
+    bugs = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("instance_id"))
     done = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.concat(F.col("o_custkey").cast("string"), F.lit("_n1")).alias("sample"))
     return generation.samples(bugs, 3, done).select("sample")
 
@@ -71,10 +71,9 @@ def bool_cast(spark, sf_dir):
     return table(spark, sf_dir, "part").select(tx.string_to_bool(word).alias("flag"), "p_size").distinct()
 
 
-@query("select page_id, regexp_extract(html, '<title>(.*?)</title>', 1) as title from pages where html is not null and html not like '%<title>%' || chr(10) || '%</title>%'")
+@query("select page_id, coalesce(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '') as title from pages")
 def between_text(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").where("html is not null").where(~F.col("html").like("%<title>%\n%</title>%"))
-    return p.select("page_id", tx.between(F.col("html"), "<title>", "</title>").alias("title"))
+    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(tx.between(F.col("html"), "<title>", "</title>"), F.lit("")).alias("title"))
 
 
 @query("select p_partkey, '@@ -' || p_size || ',2 +' || p_size || ',' || (1 + p_partkey % 3) || ' @@' as header from part")

@@ -50,7 +50,7 @@ def class_signature(spark, sf_dir):
 
 @query()
 def list_tests(spark, sf_dir):
-    return code.test_table(_files(spark, sf_dir)).select("path", "parent", "name", "code")
+    return code.test_table(_files(spark, sf_dir)).select("path", "parent", "name", "content")
 
 
 @query()

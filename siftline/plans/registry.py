@@ -68,32 +68,36 @@ def bm25_topk(spark, sf_dir):
     return bm25.top_k(bm25.scores(q, d), 3)
 
 
-@query(f"with {_ITEMS}, {_DOCS}, q5 as (select * from q where item_id < 5), {_bm25_sql('q5', 'd', 's')}, z as (select q5.item_id, d.doc_id, coalesce(score, 0.0) as score from q5 cross join d left join s on s.item_id = q5.item_id and s.doc_id = d.doc_id) select item_id, doc_id, {_scaled('score')} as sim from z")
+def _scaled_of(value: str) -> str:
+    """min-max of value within item_id, where documents without a row count as 0."""
+    w = "over (partition by item_id)"
+    some = f"count(*) {w} < (select count(*) from d)"
+    lo, hi = f"case when {some} then least(0.0, min({value}) {w}) else min({value}) {w} end", f"case when {some} then greatest(0.0, max({value}) {w}) else max({value}) {w} end"
+    return f"case when {hi} > {lo} then round(({value} - {lo}) / ({hi} - {lo}), 6) else 0.0 end"
+
+
+@query(f"with {_ITEMS}, {_DOCS}, {_bm25_sql('q', 'd', 's')} select item_id, doc_id, {_scaled_of('score')} as sim from s")
 def bm25_minmax(spark, sf_dir):
-    q = tokens(table(spark, sf_dir, "benchmark").where("item_id < 5"), "text", "item_id")
-    d = tokens(table(spark, sf_dir, "documents"), "text", "doc_id")
-    return bm25.min_max(bm25.with_zeros(bm25.scores(q, d), q, d), "score", "sim", "item_id").drop("score")
+    q, d = tokens(table(spark, sf_dir, "benchmark"), "text", "item_id"), tokens(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return bm25.min_max_of(bm25.scores(q, d), d, "score", "sim").drop("score")
 
 
-_NAME_DOC = f"n as (select d.doc_id, list_concat({_TOK.format('coalesce(source, chr(32)) || chr(32) || coalesce(lang, chr(32))')}, d.tokens[1:5]) as tokens from d join documents using (doc_id))"
+_NAME_DOC = f"n as (select doc_id, {_TOK.format('coalesce(source, chr(32)) || chr(32) || coalesce(lang, chr(32)) || chr(32) || coalesce(left(text, 200), chr(32))')} as tokens from documents)"
 
 
 @query(
-    f"with {_ITEMS}, {_DOCS}, {_NAME_DOC}, q5 as (select * from q where item_id < 5), {_bm25_sql('q5', 'n', 'a')}, {_bm25_sql('q5', 'd', 'b')},"
-    "za as (select q5.item_id, d.doc_id, coalesce(score, 0.0) as score from q5 cross join d left join a on a.item_id = q5.item_id and a.doc_id = d.doc_id),"
-    "zb as (select q5.item_id, d.doc_id, coalesce(score, 0.0) as score from q5 cross join d left join b on b.item_id = q5.item_id and b.doc_id = d.doc_id),"
-    f"sa as (select item_id, doc_id, {_scaled('score')} as name_sim from za), sb as (select item_id, doc_id, {_scaled('score')} as code_sim from zb),"
-    f"r as (select *, 0.5 * name_sim + 0.5 * code_sim as raw from sa join sb using (item_id, doc_id)), m as (select item_id, doc_id, name_sim, code_sim, {_scaled('raw')} as sem from r)"
+    f"with {_ITEMS}, {_DOCS}, {_NAME_DOC}, {_bm25_sql('q', 'n', 'a')}, {_bm25_sql('q', 'd', 'b')},"
+    f"sa as (select item_id, doc_id, {_scaled_of('score')} as x from a), sb as (select item_id, doc_id, {_scaled_of('score')} as y from b),"
+    "r as (select item_id, doc_id, coalesce(x, 0.0) as name_sim, coalesce(y, 0.0) as code_sim, 0.5 * coalesce(x, 0.0) + 0.5 * coalesce(y, 0.0) as raw from sa full join sb using (item_id, doc_id)),"
+    f"m as (select item_id, doc_id, name_sim, code_sim, {_scaled_of('raw')} as sem from r)"
     "select item_id, doc_id, name_sim, code_sim, sem, rnk from (select *, row_number() over (partition by item_id order by sem desc, doc_id) as rnk from m) where rnk <= 5"
 )
 def semantic_blend_topk(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    q = tokens(table(spark, sf_dir, "benchmark").where("item_id < 5"), "text", "item_id")
-    code = tokens(docs, "text", "doc_id")
-    label = tx.identifier_tokens(F.concat_ws(" ", F.coalesce("source", F.lit(" ")), F.coalesce("lang", F.lit(" "))))
-    name = docs.select("doc_id", F.concat(label, F.slice(tx.identifier_tokens(F.col("text")), 1, 5)).alias("tokens"))
-    full = lambda d: bm25.with_zeros(bm25.scores(q, d), q, d)
-    return bm25.top_k(bm25.blend(full(name), full(code)), 5, by="sem")
+    q, code = tokens(table(spark, sf_dir, "benchmark"), "text", "item_id"), tokens(docs, "text", "doc_id")
+    label = F.concat_ws(" ", *[F.coalesce(c, F.lit(" ")) for c in (F.col("source"), F.col("lang"), F.substring("text", 1, 200))])
+    name = docs.select("doc_id", tx.identifier_tokens(label).alias("tokens"))
+    return bm25.top_k(bm25.blend(bm25.scores(q, name), bm25.scores(q, code), docs), 5, by="sem")
 
 
 @query("select o_custkey, o_orderkey, bucket from (select *, rank() over (partition by o_custkey order by bucket desc) as r from (select o_custkey, o_orderkey, cast(floor(o_totalprice / 50000) as bigint) as bucket from orders)) where r <= 2")
@@ -178,18 +182,18 @@ def name_join_hidden(spark, sf_dir):
     return lookup.visible_matches(n.select(F.col("name").alias("keyword")).distinct(), n)
 
 
-@query("with k as (select p_type || '.' || p_name as keyword from part where p_partkey <= 50) select distinct keyword, p_partkey from k join part on p_type || '.' || p_name = keyword")
+@query("with k as (select p_type || '.' || p_name as keyword from part) select distinct keyword, p_partkey from k join part on p_type || '.' || p_name = keyword")
 def suffix_path_match(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    keywords = p.where("p_partkey <= 50").select(F.concat_ws(".", "p_type", "p_name").alias("keyword"))
+    keywords = p.select(F.concat_ws(".", "p_type", "p_name").alias("keyword")).distinct()
     nodes = p.select(F.col("p_partkey").alias("node_id"), F.array("p_brand", "p_type", "p_name").alias("path"))
     return lookup.path_matches(keywords, nodes).distinct().withColumnRenamed("node_id", "p_partkey")
 
 
-@query("with a as (select distinct user_id, event_type from events where cast(ts as date) < date '2024-01-03'), b as (select distinct user_id, event_type from events where cast(ts as date) >= date '2024-01-28') select u.user_id, exists (select 1 from a join b using (user_id, event_type) where user_id = u.user_id) as matched from (select distinct user_id from events) u")
+@query("with a as (select distinct user_id, event_type from events where day(ts) <= 15), b as (select distinct user_id, event_type from events where day(ts) > 15) select u.user_id, exists (select 1 from a join b using (user_id, event_type) where user_id = u.user_id) as matched from (select distinct user_id from events) u")
 def exists_pair(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    a, b = e.where(F.to_date("ts") < "2024-01-03"), e.where(F.to_date("ts") >= "2024-01-28")
+    a, b = e.where(F.dayofmonth("ts") <= 15), e.where(F.dayofmonth("ts") > 15)
     both = a.select("user_id", "event_type").join(b.select("user_id", "event_type"), ["user_id", "event_type"], "left_semi").select("user_id").distinct().withColumn("hit", F.lit(True))
     return e.select("user_id").distinct().join(both, "user_id", "left").select("user_id", F.coalesce("hit", F.lit(False)).alias("matched"))
 
@@ -230,9 +234,9 @@ def keyword_best_node(spark, sf_dir):
     return lookup.best_nodes(s, parents).withColumnRenamed("node_id", "p_partkey")
 
 
-@query(f"with {_DOCS} select token, count(*) as df from (select distinct doc_id, unnest(tokens) as token from d) group by 1 having count(*) > 1")
+@query(f"with {_DOCS} select token, count(*) as df from (select distinct doc_id, unnest(tokens) as token from d) group by 1")
 def document_frequency(spark, sf_dir):
-    return bm25.document_frequency(tokens(table(spark, sf_dir, "documents"), "text", "doc_id")).where("df > 1")
+    return bm25.document_frequency(tokens(table(spark, sf_dir, "documents"), "text", "doc_id"))
 
 
 @query(f"with {_DOCS}, f as (select token, count(*) as df from (select distinct doc_id, unnest(tokens) as token from d) group by 1), n as (select count(*) as n from documents) select token, round(case when token in ('the', 'und') then 1.0 when df >= n then 0.1 else greatest(0.1, 0.1 + 0.8 * log10(n / (df + 1.0)) / case when n > 1 then log10(n) else 1 end) end, 6) as weight from f, n")
@@ -307,9 +311,9 @@ def wasted_effort(spark, sf_dir):
     return outcomes.wasted_effort(outcomes.first_success(outcomes.rank_tests(_features(spark, sf_dir))))
 
 
-@query(f"with {_FEAT}, r as (select seed, bug, success, row_number() over (partition by seed, bug order by md5(seed || '-' || test)) as rnk from f, (select unnest(range(20)) as seed)), fs as (select seed, bug, coalesce(min(rnk) filter (where success), 100000) as fr from r group by 1, 2) select cast(seed as int) as seed, n, count(*) filter (where fr <= n) as acc from fs, (values (1), (3), (5)) t(n) group by 1, 2")
+@query(f"with {_FEAT}, r as (select seed, bug, success, row_number() over (partition by seed, bug order by md5(seed || '-' || test)) as rnk from f, (select unnest(range(100)) as seed)), fs as (select seed, bug, coalesce(min(rnk) filter (where success), 100000) as fr from r group by 1, 2) select cast(seed as int) as seed, n, count(*) filter (where fr <= n) as acc from fs, (values (1), (3), (5)) t(n) group by 1, 2")
 def random_baseline_md5(spark, sf_dir):
-    r = outcomes.shuffled_ranks(_features(spark, sf_dir).select("bug", "test", "success"), 20, "test")
+    r = outcomes.shuffled_ranks(_features(spark, sf_dir).select("bug", "test", "success"), 100, "test")
     first = r.groupBy("seed", "bug").agg(F.coalesce(F.min(F.when(F.col("success"), F.col("rnk"))), F.lit(outcomes.NO_SUCCESS)).alias("fr"))
     rows = first.withColumn("n", F.explode(F.array(*[F.lit(x) for x in (1, 3, 5)])))
     return rows.groupBy("seed", "n").agg(F.count_if(F.col("fr") <= F.col("n")).alias("acc"))
@@ -426,17 +430,18 @@ def diff_files(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.explode(tx.diff_files(patch)).alias("path")).distinct()
 
 
-def _edges(spark, sf_dir, n=50):
-    p = table(spark, sf_dir, "part").where(F.col("p_partkey") <= n).select((F.col("p_partkey") - 1).alias("i"))
-    to = F.explode(F.array((3 * F.col("i") + 1) % n, (5 * F.col("i") + 2) % n))
-    return p.select(F.col("i").alias("src"), to.alias("dst")).distinct()
+def _edges(spark, sf_dir):
+    """Each part calls those of half and of a third of its number."""
+    i = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(i.alias("src"), F.explode(F.array(F.floor(i / 2), F.floor(i / 3))).alias("dst"))
+    return p.distinct()
 
 
-def _roots(spark, sf_dir, n=20):
-    return table(spark, sf_dir, "part").where(F.col("p_partkey") <= n).select((F.col("p_partkey") - 1).alias("root"))
+def _roots(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("root"))
 
 
-_EDGES = "e as (select distinct cast(i as varchar) as src, cast(unnest([(3 * i + 1) % 50, (5 * i + 2) % 50]) as varchar) as dst from (select p_partkey - 1 as i from part where p_partkey <= 50)), roots as (select p_partkey - 1 as root from part where p_partkey <= 20)"
+_EDGES = "e as (select distinct cast(i as varchar) as src, cast(unnest([i // 2, i // 3]) as varchar) as dst from (select p_partkey as i from part)), roots as (select p_partkey as root from part)"
 
 
 def _unfold_sql(cycles: bool) -> str:
@@ -455,8 +460,8 @@ def call_tree_query_unfold(spark, sf_dir):
     return trees.unfold(_roots(spark, sf_dir), _edges(spark, sf_dir), stop_at_cycles=False).groupBy("root", "depth").agg(F.count("*").alias("n"))
 
 
-def _weighted(spark, sf_dir):
-    t = trees.unfold(_roots(spark, sf_dir), _edges(spark, sf_dir))
+def _weighted(spark, sf_dir, depth=trees.DEPTH):
+    t = trees.unfold(_roots(spark, sf_dir), _edges(spark, sf_dir), depth)
     total = t.agg(F.count_distinct("root").alias("total"))
     d = trees.tree_df(t).withColumnRenamed("name", "k")
     j = t.join(d, t["name"] == d["k"], "left").crossJoin(F.broadcast(total))
@@ -491,15 +496,16 @@ def chat_fold(spark, sf_dir):
 
 @query()
 def tree_edit_similarity(spark, sf_dir):
-    g = trees.gathered(_weighted(spark, sf_dir))
+    """Trees of depth 3 of each root and of the three next ones."""
+    g = trees.gathered(_weighted(spark, sf_dir, 3))
     a, b = g.select(F.col("root").alias("root_a"), F.col("tree").alias("tree_a")), g.select(F.col("root").alias("root_b"), F.col("tree").alias("tree_b"))
-    near = (F.col("root_a") < F.col("root_b")) & (F.col("root_b") <= F.col("root_a") + 3)
-    return trees.similarities(a.join(b, near))
+    a = a.withColumn("next", F.explode(F.sequence(F.col("root_a") + 1, F.col("root_a") + 3)))
+    return trees.similarities(a.join(b, F.col("next") == F.col("root_b")).drop("next"))
 
 
 @query()
 def blended_tree_semantic(spark, sf_dir):
     s = tree_edit_similarity(spark, sf_dir)
     s = bm25.min_max(s, "sim", "call_sim", "root_a")
-    p = table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("root_b"), (F.col("p_size") / 50.0).alias("sem"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("root_b"), (F.col("p_size") / 50.0).alias("sem"))
     return s.join(p, "root_b").select("root_a", "root_b", F.round(0.5 * F.col("sem") + 0.5 * F.col("call_sim"), 6).alias("score"))

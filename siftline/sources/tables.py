@@ -9,26 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import is_searched
+from .documents import checkpoints
+
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """One id a line."""
     return spark.read.text(path).select(F.trim("value").alias("instance_id")).where("instance_id <> ''")
 
 
-def read_sources(spark: SparkSession, root: str, excluded: tuple[str, ...] = ("build", "docs", "doc", ".git", "test")) -> DataFrame:
-    """(path, content) of all Python files below root, but for the excluded first parts."""
+def read_sources(spark: SparkSession, root: str, tests: bool = False, project: str | None = None) -> DataFrame:
+    """(path, content) of the Python files below root that are searched (see text.is_searched); with tests, of all."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").text(root, wholetext=True)
     path = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/*", "/")
     rows = rows.select(F.substring(path, len(root.rstrip("/")) + 2, 1 << 20).alias("path"), F.col("value").alias("content"))
-    for e in excluded:
-        rows = rows.where(~F.col("path").startswith(e))
-    return rows
+    return rows if tests else rows.where(is_searched(F.col("path"), None if project is None else F.lit(project)))
 
 
 def read_tests(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of files named test*.py or unittest*.py."""
     base = F.element_at(F.split("path", "/"), -1)
-    return read_sources(spark, root, ()).where(base.startswith("test") | base.startswith("unittest"))
+    return read_sources(spark, root, True).where(base.startswith("test") | base.startswith("unittest"))
 
 
 def diff_rows(diffs: DataFrame) -> DataFrame:
@@ -70,10 +71,37 @@ def ask(prompts: DataFrame, provider: Callable[[str], str | None], text: str = "
 
 
 def refine(rounds: int, start: DataFrame, step: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """Rounds of a step on its own result; lineage is cut by a checkpoint where a folder for it is known."""
+    """Rounds of a step on its own result, each checkpointed."""
     df = start
-    for i in range(1, rounds + 1):
-        df = step(df, i)
-        if df.sparkSession.sparkContext.getCheckpointDir():
-            df = df.checkpoint()
+    with checkpoints(start.sparkSession):
+        for i in range(1, rounds + 1):
+            df = step(df, i).checkpoint()
     return df
+
+
+def converse(asked: DataFrame, provider: Callable, tools: Callable[[str, str], str], turns: int = 20, errors: int = 10) -> DataFrame:
+    """(conv, transcript, outcome) of asked(conv, prompt): the provider gets the transcript and answers (text, [(tool, arguments)]);
+    tools answer each call, until an answer has no calls (`done`), the errors-th answer of a tool begins with Error
+    (`errors`) or the turns are over (`turns`). A batch of conversations is held on an executor."""
+
+    def one(prompt: str) -> tuple[list[str], str]:
+        said, wrong = [f"user: {prompt}"], 0
+        for _ in range(turns):
+            text, calls = provider(list(said))
+            said.append(f"assistant: {text}")
+            if not calls:
+                return said, "done"
+            for name, arguments in calls:
+                answer = tools(name, arguments)
+                said.append(f"tool: {answer}")
+                wrong += answer.startswith("Error")
+                if wrong >= errors:
+                    return said, "errors"
+        return said, "turns"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = [one(p) for p in f["prompt"]]
+            yield pd.DataFrame({"conv": f["conv"], "transcript": [x for x, _ in out], "outcome": [x for _, x in out]})
+
+    return asked.select("conv", "prompt").mapInPandas(run, f"conv {dict(asked.dtypes)['conv']}, transcript array<string>, outcome string")

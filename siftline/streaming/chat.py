@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-FOLDED = "conv string, id string, type string, name string, arguments string, content string"
-STATE = "id string, type string, name string, arguments string, content string"
+FOLDED = "conv string, index int, id string, type string, name string, arguments string, content string"
+STATE = "pieces string"
 
 
 def fold(pieces: DataFrame) -> DataFrame:
@@ -24,25 +25,33 @@ def fold(pieces: DataFrame) -> DataFrame:
     return g.select("conv", "index", first["id"].alias("id"), first["type"].alias("type"), F.try_element_at(names, F.lit(-1)).alias("name"), joined("arguments").alias("arguments"), joined("content").alias("content"))
 
 
-def fold_stream(pieces: DataFrame) -> DataFrame:
-    """The same over a stream of pieces with a boolean `last`: a message is put out once its end mark has come."""
+def fold_stream(pieces: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """The same over a stream of pieces with a boolean `last`: a message is put out once the piece with its end mark has
+    come, in the order of seq whatever order pieces came in; with idle_ms, also once none has come for so long.
+
+    The state of a message is its pieces so far, until it is put out.
+    """
+    kept = ["seq", "id", "type", "name", "arguments", "content"]
+
+    def folded(key: tuple, held: list[list]) -> pd.DataFrame:
+        held = sorted(held, key=lambda r: r[0])
+        names = [r[3] for r in held if r[3] is not None]
+        text = lambda i: "".join(r[i] for r in held if r[i] is not None)
+        return pd.DataFrame([[*key, held[0][1], held[0][2], names[-1] if names else None, text(4), text(5)]], columns=["conv", "index", "id", "type", "name", "arguments", "content"])
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else [None, None, None, "", ""]
-        over = False
+        held, over = json.loads(state.get[0]) if state.exists else [], state.hasTimedOut
         for f in frames:
-            for r in f.sort_values("seq").itertuples():
-                text = lambda x: x if isinstance(x, str) else None
-                if held[0] is None:
-                    held[0], held[1] = text(r.id), text(r.type)
-                held[2] = text(r.name) or held[2]
-                held[3] += text(r.arguments) or ""
-                held[4] += text(r.content) or ""
-                over = over or bool(r.last)
+            held += [[int(r[0]), *[x if isinstance(x, str) else None for x in r[1:]]] for r in f[kept].itertuples(index=False)]
+            over = over or bool(f["last"].fillna(False).any())
         if over:
             state.remove()
-            yield pd.DataFrame([[key[0], *held]], columns=["conv", "id", "type", "name", "arguments", "content"])
+            if held:
+                yield folded(key, held)
         else:
-            state.update(tuple(held))
+            state.update((json.dumps(held),))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
 
-    return pieces.groupBy("conv").applyInPandasWithState(update, FOLDED, STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return pieces.groupBy("conv", "index").applyInPandasWithState(update, FOLDED, STATE, "append", timeout)

@@ -2,13 +2,12 @@ import ast
 import difflib
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import fuzzy, text
 from siftline.operators import bm25, code, lookup, outcomes, trees
-from siftline.sources import tables
+from siftline.sources import documents, tables
 from siftline.streaming import chat
 
 
@@ -141,7 +140,12 @@ def test_sources(spark, tmp_path):
     (tmp_path / "pkg/test_a.py").write_text("def test_a(): pass")
     (tmp_path / "build").mkdir()
     (tmp_path / "build/x.py").write_text("x = 1")
-    assert {r.path for r in tables.read_sources(spark, str(tmp_path)).collect()} == {"pkg/test_a.py"}
+    (tmp_path / "pkg/deep").mkdir()
+    (tmp_path / "pkg/deep/y.py").write_text("y = 1")
+    (tmp_path / "tests").mkdir()
+    (tmp_path / "tests/conf.py").write_text("z = 1")
+    assert {r.path for r in tables.read_sources(spark, str(tmp_path)).collect()} == {"pkg/test_a.py", "pkg/deep/y.py"}
+    assert "tests/conf.py" in {r.path for r in tables.read_sources(spark, str(tmp_path), project="pytest").collect()}
     assert tables.read_tests(spark, str(tmp_path)).count() == 1
     (tmp_path / "ids.txt").write_text("a\n\nb\n")
     assert {r[0] for r in tables.read_ids(spark, str(tmp_path / "ids.txt")).collect()} == {"a", "b"}
@@ -155,14 +159,62 @@ def test_sources(spark, tmp_path):
 
 
 def test_chat_stream_equals_batch(spark, tmp_path):
-    rows = [("c1", i, 0, "id1" if i == 0 else None, "function" if i == 0 else None, "f" if i == 0 else None, f"a{i}", f"t{i}", i == 4) for i in range(5)]
-    names = "conv seq index id type name arguments content last".split()
+    piece = lambda c, k, i, n: (c, i, k, f"id{k}" if i == 0 else None, "function" if i == 0 else None, f"f{k}" if i == 0 else None, f"a{k}{i}", f"t{i}", i == n - 1)
+    rows = [piece(c, k, i, 3 + k) for c in ("c1", "c2") for k in range(2) for i in range(3 + k)]
+    random.Random(1).shuffle(rows)
+    rows.sort(key=lambda r: r[-1])  # end marks come last, all else in any order
     schema = "conv string, seq long, index int, id string, type string, name string, arguments string, content string, last boolean"
     src = str(tmp_path / "src")
-    spark.createDataFrame(rows, schema).write.parquet(src)
-    batch = chat.fold(spark.read.parquet(src)).drop("index").toPandas()
-    stream = spark.readStream.schema(schema).parquet(src)
+    for i in range(0, len(rows), 4):  # several micro-batches
+        spark.createDataFrame(rows[i : i + 4], schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     q = chat.fold_stream(stream).writeStream.format("memory").queryName("folded").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = spark.table("folded").toPandas()
-    assert names and pd.DataFrame.equals(got[batch.columns], batch)
+    batch = chat.fold(spark.read.parquet(src))
+    got = spark.table("folded").select(*batch.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+    assert {(r["index"], r.name, r.arguments) for r in got.collect()} == {(0, "f0", "a00a01a02"), (1, "f1", "a10a11a12a13")}
+
+
+def test_assertions_and_tokens_are_counted_as_they_stand():
+    code_ = "def test_a():\n    assert x  # c\n    self.assertTrue(AssertionError)\n"
+    assert fuzzy.count_assertions(code_) == 2 and fuzzy.count_assertions("assert (x") == 0
+    assert fuzzy.count_tokens("x = 1\n") == 5 and fuzzy.count_tokens("x = (") is None  # also the line's and the text's end
+    assert fuzzy.traces('a.py:3: in f\n    x()\nE   ValueError: b\n', fuzzy.OUTPUT_TRACES)[0]["message"].startswith("E   ValueError: b")
+    style = "TypeError: Traceback (most recent call last)\nsome frame\nTypeError: bad\n"
+    assert {"stack_trace": "some frame\n", "message": "TypeError: bad\n"} in fuzzy.traces(style, fuzzy.REPORT_TRACES)
+
+
+def test_longest_common_run_equals_brute_force():
+    r = random.Random(2)
+    for _ in range(50):
+        a, b = ("".join(r.choice("abc ") for _ in range(r.randint(0, 30))) for _ in range(2))
+        want = max((j - i for i in range(len(b)) for j in range(i, len(b) + 1) if b[i:j] in a), default=0)
+        assert fuzzy.longest_common_run(a, b) == want
+
+
+def test_callables_are_told_apart():
+    src = "class Foo(TestCase):\n    @p\n    def check_test_it(self):\n        def inner(): pass\n        a.b.c(inner())\n    def other(self): pass\n\ndef outer():\n    def test_in(): pass\n\n@d\nclass Bar: \n    def test_no(self): pass\n"
+    rows = {(r[1], r[2]): r for r in code.callables("m.py", src)}
+    assert {k for k, r in rows.items() if r[5]} == {("Foo", "check_test_it")} and set(rows) == {("Foo", "check_test_it"), ("Foo", "other"), ("", "outer"), ("Bar", "test_no")}
+    assert rows["Foo", "check_test_it"][6].startswith("class Foo(TestCase):\n    @p\n    def check_test_it") and rows["Bar", "test_no"][6].startswith("@d\nclass Bar: \n    def test_no")
+    kinds = {r[3]: r[1] for r in code.definitions("m.py", src)}
+    assert kinds["test_in"] == "inner_function" and kinds["outer"] == "function" and kinds["other"] == kinds["inner"] == "class_function"
+    assert ("m.py", "check_test_it", "a.b", "c") in code.calls("m.py", src)
+
+
+def test_reference_edges_go_by_name(spark):
+    files = spark.createDataFrame([("a.py", "def f():\n    pass\n"), ("b.py", "import a\na.f()\nx = f\n")], "path string, content string")
+    assert {tuple(r) for r in code.reference_edges(files).collect()} == {("b.py", 2, "f", "a.py", 1), ("b.py", 3, "f", "a.py", 1)}
+
+
+def test_closure_has_no_end_of_its_own(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(75)] + [(75, 3)], "src long, dst long")
+    got = trees.closure(edges, spark.createDataFrame([(0,), (70,)], "root long")).collect()
+    assert sorted(r.node for r in got if r.root == 0) == list(range(76)) and sorted(r.node for r in got if r.root == 70) == list(range(3, 76))
+
+
+def test_json_arrays_are_read(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"k": 1},\n {"k": 2}]')
+    (tmp_path / "b.json").write_text('{"k":\n 3}')
+    assert {r.k for r in documents.read_json(spark, str(tmp_path), "k int").collect()} == {1, 2, 3}
