@@ -181,8 +181,8 @@ def test_assertions_and_tokens_are_counted_as_they_stand():
     assert fuzzy.count_assertions(code_) == 2 and fuzzy.count_assertions("assert (x") == 0
     assert fuzzy.count_tokens("x = 1\n") == 5 and fuzzy.count_tokens("x = (") is None  # also the line's and the text's end
     assert fuzzy.traces('a.py:3: in f\n    x()\nE   ValueError: b\n', fuzzy.OUTPUT_TRACES)[0]["message"].startswith("E   ValueError: b")
-    style = "TypeError: Traceback (most recent call last)\nsome frame\nTypeError: bad\n"
-    assert {"stack_trace": "some frame\n", "message": "TypeError: bad\n"} in fuzzy.traces(style, fuzzy.REPORT_TRACES)
+    style = "TypeError: Traceback (most recent call last)\n  some frame\nTypeError: bad\n"
+    assert {"stack_trace": "  some frame\n", "message": "TypeError: bad\n"} in fuzzy.traces(style, fuzzy.REPORT_TRACES)
 
 
 def test_longest_common_run_equals_brute_force():
