@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,11 +16,15 @@ from .tokens import text_pieces
 
 @dataclass(frozen=True)
 class Training:
-    """The network is fitted on a bounded sample: docs_per_label documents of each of the max_labels most frequent
-    labels, from each at most `windows` windows of `steps` bytes at random places of the whole text."""
+    """The network is fitted on a bounded sample: of each of the max_labels most frequent labels docs_per_label documents,
+    fewer where that would be more than `sample` in all; from each at most `windows` windows of `steps` bytes at random
+    places of the whole text. Texts are labelled in stretches of `steps` bytes, each read from `margin` bytes before to
+    `margin` behind it, so that both states have the bytes around."""
 
     docs_per_label: int = 300
-    max_labels: int = 64
+    max_labels: int = 1024
+    sample: int = 19_200
+    margin: int = 8
     windows: int = 8
     steps: int = 48
     hidden: int = 8
@@ -40,6 +45,7 @@ class ByteTagger:
 
     labels: list[str]
     steps: int
+    margin: int
     w: dict[str, np.ndarray] = field(default_factory=dict)
 
     @classmethod
@@ -51,10 +57,11 @@ class ByteTagger:
             w[f"u{d}"] = (r.standard_normal((h, 3 * h)) / np.sqrt(h)).astype(np.float32)
             w[f"o{d}"] = (r.standard_normal((h, len(labels))) / np.sqrt(h)).astype(np.float32)
         w["c"] = np.zeros(len(labels), np.float32)
-        return cls(labels, t.steps, w)
+        return cls(labels, t.steps, t.margin, w)
 
-    def _states(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States (steps, windows, hidden) of one direction over bytes x (steps, windows); keep: what training needs."""
+    def _states(self, x: np.ndarray, d: str, keep: bool, inside: np.ndarray) -> tuple[np.ndarray, list]:
+        """States (steps, windows, hidden) of one direction over bytes x (steps, windows), zero where they aren't inside a
+        text; keep: what training needs."""
         e, u = self.w[f"e{d}"], self.w[f"u{d}"]
         n = u.shape[0]
         out, kept = np.empty((*x.shape, n), np.float32), []
@@ -64,16 +71,17 @@ class ByteTagger:
             gates = _sigmoid(a[:, : 2 * n] + g[:, : 2 * n])
             z, r = gates[:, :n], gates[:, n:]
             c = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
-            new = c + z * (h - c)
+            new = (c + z * (h - c)) * inside[t][:, None]
             if keep:
                 kept.append((t, h, z, r, c, g[:, 2 * n :]))
             out[t] = h = new
         return out, kept
 
-    def probabilities(self, x: np.ndarray, keep: bool = False):
-        """(steps, windows, labels) of bytes (steps, windows)."""
-        f, kf = self._states(x, "f", keep)
-        b, kb = self._states(x, "b", keep)
+    def probabilities(self, x: np.ndarray, inside: np.ndarray, keep: bool = False, used: slice = slice(None)):
+        """(steps, windows, labels) of bytes (steps, windows), at the steps that are used."""
+        f, kf = self._states(x, "f", keep, inside)
+        b, kb = self._states(x, "b", keep, inside)
+        f, b = f[used], b[used]
         s = f @ self.w["of"] + b @ self.w["ob"] + self.w["c"]
         s -= s.max(2, keepdims=True)
         p = np.exp(s, out=s)
@@ -82,7 +90,8 @@ class ByteTagger:
 
     def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         """Of the mean cross entropy over positions under the mask; backpropagation through time in both directions."""
-        p, f, b, kf, kb = self.probabilities(x, True)
+        inside = mask.astype(np.float32)
+        p, f, b, kf, kb = self.probabilities(x, inside, True)
         total = max(1, int(mask.sum()))
         loss = -float((np.log(np.take_along_axis(p, y[..., None], 2)[..., 0] + 1e-9) * mask).sum()) / total
         ds = p
@@ -97,7 +106,7 @@ class ByteTagger:
             back = ds @ self.w[f"o{d}"].T
             dh = np.zeros((x.shape[1], n), np.float32)
             for t, h, z, r, c, gc in reversed(kept):
-                dn = back[t] + dh
+                dn = (back[t] + dh) * inside[t][:, None]
                 dc = dn * (1 - z) * (1 - c * c)
                 dz = dn * (h - c) * z * (1 - z)
                 dr = dc * gc * r * (1 - r)
@@ -109,19 +118,13 @@ class ByteTagger:
             g[f"e{d}"], g[f"u{d}"] = ge, gu
         return g, loss
 
-    def fit(self, texts: list[bytes], ys: list[int], t: Training) -> ByteTagger:
-        r = np.random.default_rng(t.seed)
-        xs, ls, ms = [], [], []
-        for text, y in zip(texts, ys, strict=True):
-            raw = np.frombuffer(text, np.uint8)
-            for at in r.integers(0, max(1, len(raw) - t.steps + 1), min(t.windows, 1 + len(raw) // t.steps)):
-                part = raw[at : at + t.steps]
-                xs.append(np.pad(part, (0, t.steps - len(part))))
-                ms.append(np.arange(t.steps) < len(part))
-                ls.append(y)
-        if not xs:
+    def fit(self, windows: list[bytes], ys: list[int], t: Training) -> ByteTagger:
+        """windows: at most `steps` bytes each."""
+        if not windows:
             return self
-        x, y, mask = np.array(xs), np.array(ls), np.array(ms)
+        r = np.random.default_rng(t.seed)
+        x = np.stack([np.frombuffer(w.ljust(t.steps, b"\0"), np.uint8) for w in windows])
+        y, mask = np.array(ys), np.arange(t.steps) < np.array([len(w) for w in windows])[:, None]
         m1 = {k: np.zeros_like(v) for k, v in self.w.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.w.items()}
         for step in range(1, t.rounds + 1):
@@ -136,26 +139,26 @@ class ByteTagger:
 
     def pooled(self, raw: np.ndarray, offsets: np.ndarray, block: int = 8192) -> np.ndarray:
         """(texts, labels): mean of the probabilities at every byte of each text; zeros for empty ones."""
-        sizes = np.diff(offsets)
+        sizes, reach = np.diff(offsets), self.margin
         n_windows = -(-sizes // self.steps)
         owner = np.repeat(np.arange(len(sizes)), n_windows)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
         begin = offsets[:-1][owner] + nth * self.steps
-        length = np.minimum(self.steps, offsets[1:][owner] - begin)
-        padded = np.concatenate((raw, np.zeros(self.steps, np.uint8)))
-        sums = np.zeros((len(sizes), len(self.labels)))
+        padded = np.concatenate((np.zeros(reach, np.uint8), raw, np.zeros(self.steps + reach, np.uint8)))
+        sums, steps = np.zeros((len(sizes), len(self.labels))), np.arange(-reach, self.steps + reach)[:, None]
+        used = slice(reach, reach + self.steps)
         for a in range(0, len(owner), block):
-            at = begin[a : a + block]
-            x = padded[at[None, :] + np.arange(self.steps)[:, None]]
-            inside = np.arange(self.steps)[:, None] < length[a : a + block][None, :]
-            p = self.probabilities(np.where(inside, x, 0))
-            p *= inside[..., None]
-            np.add.at(sums, owner[a : a + block], p.sum(0))
+            at, own = begin[a : a + block], owner[a : a + block]
+            place = at[None, :] + steps
+            inside = ((place >= offsets[own][None, :]) & (place < offsets[own + 1][None, :])).astype(np.float32)
+            p = self.probabilities(padded[place + reach], inside, used=used)
+            p *= inside[used][..., None]
+            np.add.at(sums, own, p.sum(0))
         return sums / np.maximum(1, sizes)[:, None]
 
 
 def train(docs: DataFrame, t: Training = Training()) -> ByteTagger | None:
-    """Fits the network to documents(text, lang); None if no document has both. Only the sample reaches the driver."""
+    """Fits the network to documents(text, lang); None if no document has both. Only the sample's windows reach the driver."""
     have = docs.where("text is not null and lang is not null and text <> ''")
     counts = have.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(t.max_labels).collect()
     if not counts:
@@ -163,13 +166,24 @@ def train(docs: DataFrame, t: Training = Training()) -> ByteTagger | None:
     labels = sorted(r["lang"] for r in counts)
     u = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     # About three times what is needed of each label, then exactly that much by rank.
-    rate = {r["lang"]: min(1.0, (3 * t.docs_per_label + 30) / r["count"]) for r in counts}
+    each = max(1, min(t.docs_per_label, t.sample // len(labels)))
+    rate = {r["lang"]: min(1.0, (3 * each + 30) / r["count"]) for r in counts}
     cut = F.element_at(F.create_map(*[F.lit(x) for kv in rate.items() for x in kv]), F.col("lang"))
     picked = have.select("text", "lang", u.alias("u")).where(F.col("lang").isin(labels)).where(F.col("u") < cut)
     first = F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))
-    rows = picked.withColumn("n", first).where(F.col("n") <= t.docs_per_label).select("text", "lang").toPandas()
-    rows = rows.sort_values(["lang", "text"])
-    return ByteTagger.fresh(labels, t).fit([x.encode() for x in rows["text"]], [labels.index(x) for x in rows["lang"]], t)
+
+    def windows(batches):
+        for batch in batches:
+            langs, out = batch.column("lang").to_pylist(), []
+            for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+                r = np.random.default_rng(zlib.crc32(text))
+                for at in r.integers(0, max(1, len(text) - t.steps + 1), min(t.windows, 1 + len(text) // t.steps)):
+                    out.append((langs[i], text[at : at + t.steps]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], ["lang", "x"])
+
+    rows = picked.withColumn("n", first).where(F.col("n") <= each).select("text", "lang").mapInArrow(windows, "lang string, x binary").collect()
+    rows = sorted((r["lang"], bytes(r["x"])) for r in rows)
+    return ByteTagger.fresh(labels, t).fit([x for _, x in rows], [labels.index(x) for x, _ in rows], t)
 
 
 def identify(docs: DataFrame, model: ByteTagger | None) -> DataFrame:

@@ -45,7 +45,7 @@ def source_targets(sizes: DataFrame, plan: MixPlan) -> DataFrame:
 def when_consumed(share: Column, w0: Column, w1: Column) -> Column:
     """Time in [0, 1] at which a source has given this share of its target: the inverse of the integral of its rate."""
     mean = (w0 + w1) / 2
-    return 2 * share * mean / (w0 + F.sqrt(F.greatest(F.lit(0.0), w0 * w0 + 2 * (w1 - w0) * share * mean)))
+    return F.when(share > 0, 2 * share * mean / (w0 + F.sqrt(F.greatest(F.lit(0.0), w0 * w0 + 2 * (w1 - w0) * share * mean)))).otherwise(0.0)
 
 
 def _planned(docs: DataFrame, plan: MixPlan, carry: bool) -> DataFrame:

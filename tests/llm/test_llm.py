@@ -644,6 +644,23 @@ def test_mix_reaches_its_targets(spark, corpus, odd, none):
     assert plan_mix(none).count() == 0
 
 
+def test_positions_invert_the_integrated_schedule(spark):
+    """Against the integral of the rate by small steps, inverted by bisection."""
+    from siftline.llm.mixing import when_consumed
+
+    cases = [(w0, w1, share) for w0, w1 in ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5), (0.0, 2.0), (2.0, 0.0)) for share in (0.0, 0.1, 0.5, 0.9, 1.0)]
+    df = spark.createDataFrame(cases, "w0 double, w1 double, share double")
+    got = [r[0] for r in df.select(when_consumed(F.col("share"), F.col("w0"), F.col("w1"))).collect()]
+    steps = (np.arange(20000) + 0.5) / 20000
+    for (w0, w1, share), t in zip(cases, got, strict=True):
+        given = np.concatenate(([0], np.cumsum(w0 + (w1 - w0) * steps)))
+        lo, hi = 0.0, 1.0
+        for _ in range(40):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if np.interp(mid, np.linspace(0, 1, 20001), given / given[-1]) < share else (lo, mid)
+        assert t == pytest.approx(lo, abs=2e-3), (w0, w1, share)
+
+
 def test_water_filling_equals_repeated_resharing(spark):
     from siftline.llm.mixing import MixPlan, source_targets
 
@@ -801,7 +818,7 @@ def test_gradients_equal_differences():
     m = language.ByteTagger.fresh(["a", "b"], t)
     m.w = {k: v.astype(np.float64) for k, v in m.w.items()}
     r = np.random.default_rng(0)
-    x, y, mask = r.integers(0, 256, (6, 4)), r.integers(0, 2, (6, 4)), np.ones((6, 4), bool)
+    x, y, mask = r.integers(0, 256, (6, 4)), r.integers(0, 2, (6, 4)), np.arange(6)[:, None] < [6, 6, 4, 3]
     g, _ = m.gradients(x, y, mask)
     for k in m.w:
         i = tuple(r.integers(0, s) for s in m.w[k].shape) if not k.startswith("e") else (x[2, 1], 1)
@@ -814,6 +831,28 @@ def test_gradients_equal_differences():
         assert g[k][i] == pytest.approx((up - down) / 2e-3, abs=2e-3)
 
 
+def test_stretches_have_the_bytes_around_them():
+    """With a margin as long as the text, the stretches are labelled as by one pass over the whole text, in plain loops."""
+    t = language.Training(hidden=4, steps=10, margin=40)
+    m = language.ByteTagger.fresh(["a", "b", "c"], t)
+    raw = np.random.default_rng(1).integers(0, 256, 37 + 5).astype(np.uint8)
+    got = m.pooled(raw, np.array([0, 37, 37, 42]))
+    sig, n = lambda v: 1 / (1 + np.exp(-v)), 4
+    for row, text in ((0, raw[:37]), (2, raw[37:])):
+        states = {}
+        for d, order in (("f", range(len(text))), ("b", reversed(range(len(text))))):
+            h = np.zeros(n)
+            for i in order:
+                a, g = m.w[f"e{d}"][text[i]], h @ m.w[f"u{d}"]
+                z, r = sig(a[:n] + g[:n]), sig(a[n : 2 * n] + g[n : 2 * n])
+                c = np.tanh(a[2 * n :] + r * g[2 * n :])
+                states[d, i] = h = c + z * (h - c)
+        s = np.array([states["f", i] @ m.w["of"] + states["b", i] @ m.w["ob"] + m.w["c"] for i in range(len(text))])
+        p = np.exp(s) / np.exp(s).sum(1, keepdims=True)
+        assert got[row] == pytest.approx(p.mean(0), abs=1e-4)
+    assert got[1].sum() == 0
+
+
 def test_language_is_told_on_held_out_documents(spark, odd, none):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
