@@ -43,8 +43,8 @@ def environment_name(repo: Column, version: Column) -> Column:
 
 
 def test_command(specs: DataFrame, matrix: DataFrame, coverage: bool = False) -> DataFrame:
-    """Adds command: the framework's call from matrix(repo, version, test_cmd), a small dimension, and the directives."""
-    j = specs.join(F.broadcast(matrix), ["repo", "version"], "left")
+    """Adds command: the framework's call from matrix(repo, version, test_cmd) and the directives."""
+    j = specs.join(matrix, ["repo", "version"], "left")
     call = F.concat(F.lit("coverage run -m "), "test_cmd") if coverage else F.col("test_cmd")
     return j.withColumn("command", F.concat_ws(" ", call, F.array_join("directives", " ")))
 
