@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.documents import scratch
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
@@ -14,25 +16,39 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
+#: Terms of queries are broadcast up to so many, tens of bytes each; beyond, they are shuffled.
+BROADCAST_TERMS = 200_000
+
+
+def index(docs: DataFrame) -> DataFrame:
+    """The inverted index (doc_id, token, tf, dl) of docs(doc_id, tokens), written to the shared folder: documents are
+    tokenised once, whatever is asked of it."""
+    rows = docs.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("token"))
+    path = scratch(docs.sparkSession)
+    rows.groupBy("doc_id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id, score) of every query(item_id, tokens) and document(doc_id, tokens) that share a term.
 
-    Query terms repeat; unknown ones add nothing; terms in more than half of the documents get the floor value. Documents
-    are tokenised twice: once for all statistics (a null token counts documents and their lengths), once for the terms of
-    queries, which are joined before anything is grouped.
+    Query terms repeat; unknown ones add nothing; terms in more than half of the documents get the floor value. Statistics
+    come from the whole index; only the terms of queries are followed in it.
     """
-    each = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.lit(0).cast("long").alias("dl")))
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("token"), F.size("tokens").cast("long").alias("dl")))
-    counted = docs.select(F.explode(F.concat(each, whole)).alias("x")).groupBy("x.token").agg(F.count("*").alias("df"), F.sum("x.dl").alias("dl"))
-    about = counted.where("token is null").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
-    raw = counted.where("token is not null").crossJoin(F.broadcast(about)).select("token", "avgdl", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
+    held = index(docs)
+    counted = held.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    about = docs.agg(F.count("*").alias("n")).crossJoin(F.broadcast(counted.agg(F.sum("tf").alias("all")))).select("n", (F.col("all") / F.col("n")).alias("avgdl"))
+    raw = counted.crossJoin(F.broadcast(about)).select("token", "avgdl", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     eps = raw.agg((EPSILON * F.avg("raw")).alias("eps"))
     asked = queries.select("item_id", F.explode("tokens").alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("times"))
-    idf = raw.join(asked.select("token").distinct(), "token", "left_semi").crossJoin(F.broadcast(eps))
+    terms = asked.select("token").distinct()
+    few = terms.count() <= BROADCAST_TERMS
+    terms = F.broadcast(terms) if few else terms
+    idf = raw.join(terms, "token", "left_semi").crossJoin(F.broadcast(eps))
     idf = idf.select("token", "avgdl", F.when(F.col("raw") < 0, F.col("eps")).otherwise(F.col("raw")).alias("idf"))
-    held = docs.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).join(idf, "token")
-    tf = held.groupBy("doc_id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("idf").alias("idf"), F.first("avgdl").alias("avgdl"))
-    part = tf.select("doc_id", "token", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w"))
+    part = held.join(F.broadcast(idf) if few else idf, "token").select(
+        "doc_id", "token", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w")
+    )
     return asked.join(part, "token").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("times") * F.col("w")), 6).alias("score"))
 
 
