@@ -901,3 +901,11 @@ def test_model_counts_nothing_without_training(spark):
     m = mixing_model.MixModel(classes=2, slot_bits=12, dictionary=10)
     r = mixing_model.score(df, F.lit(False), m).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0)
+
+
+def test_empty_tables_score_and_pack_to_nothing(spark, none, odd):
+    held = F.pmod(F.col("doc_id"), F.lit(3)) == 0
+    assert mixing_model.score(none, held).count() == 0
+    small = mixing_model.MixModel(classes=2)
+    assert mixing_model.score(odd, held, small).count() == len(awkward())
+    assert one_of_each(none).count() == 0 and mixed_documents(none).count() == 0 and packing.pack(none).count() == 0
