@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import digests, format_windows
 from .jaccard import linked_components
 from .language import identify, train
+from .lloyd import clusters
 from .mixing import plan_mix
 from .mixing_model import score
 from .neighbours import nearest
@@ -166,3 +167,34 @@ def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
     out = score(docs, ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@query
+def op11_plain_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(k: int = 8, rounds: int = 10) -> str:
+    """Rounds unrolled: c0 are the first centroids (one row a component), a<i> the assignments to c<i>."""
+    sql = f"""
+with v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as materialized (select cast(row_number() over (order by sha256('3:' || vec_id) nulls last, v) - 1 as int) as c, v as m from v qualify c < {k})"""
+    for i in range(rounds + 1):
+        sql += f""",
+a{i} as materialized (select r, arg_min(c, (d, c)) as c, min(d) as d from (select r, c, cast(list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i]))) as bigint) as d from v, c{i}) group by r)"""
+        if i < rounds:
+            sql += f""",
+s{i} as (select c, i, cast(sum(x) as bigint) as s, count(*) as n from (select c, unnest(v) as x, unnest(range(1, 65)) as i from a{i} join v using (r)) group by 1, 2),
+c{i + 1} as materialized (select o.c, coalesce(n.m, o.m) as m from c{i} o left join (select c, list((s - ((s % n) + n) % n) // n order by i) as m from s{i} group by 1) n using (c))"""
+    return (
+        sql
+        + f"""
+select vec_id, c as cluster, d as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,
+  sha256(array_to_string(m, ',')) as centroid_sha256
+from a{rounds} join v using (r) join c{rounds} using (c)
+"""
+    )
+
+
+ORACLES["op11_plain_lloyd"] = _lloyd_sql()
