@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bands import near_prices
 from .chat import digests, format_windows
 from .jaccard import linked_components
 from .language import identify, train
@@ -198,3 +199,27 @@ from a{rounds} join v using (r) join c{rounds} using (c)
 
 
 ORACLES["op11_plain_lloyd"] = _lloyd_sql()
+
+
+@query
+def op12_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_prices(table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "items"))
+
+
+ORACLES["op12_band_join"] = r"""
+with raw as (select *, 2 * cast(floor(100 * amount + 0.5) as bigint) + quantity as a, 2 * quantity as b from sale_lines
+  where sale_id is not null and item_id is not null and quantity is not null and amount is not null and quantity <> 0),
+l as (select sale_id, line_no, item_id, (a - ((a % b) + b) % b) // b as u from raw),
+i as (select row_number() over () as r, item_id, cast(floor(100 * price + 0.5) as bigint) as p from items),
+byte as (select sale_id, line_no, item_id, cast(sale_id as varchar) || ',' || cast(line_no as varchar) || ',' || cast(item_id as varchar) as name from (select distinct sale_id, line_no, item_id from l)),
+t as (select n, list_reduce(list_prepend(cast(n as bigint), range(8)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) as c from range(256) t(n)),
+tab as (select list(c order by n) as t from t),
+crc as (select sale_id, line_no, item_id, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(name) + 1), lambda j: cast(ascii(name[j]) as bigint))),
+  lambda c, x: xor(tab.t[(xor(c, x) & 255) + 1], c >> 8))) as crc from byte, tab),
+pairs as (select i.r, i.item_id, abs(l.u - p) as gap, l.u, l.sale_id, l.line_no, l.item_id as line_item_id, crc
+  from i join l on l.u between p - greatest(10, 2 * p // 1000) and p + greatest(10, 2 * p // 1000) and l.item_id <> i.item_id join crc on crc.sale_id = l.sale_id and crc.line_no = l.line_no and crc.item_id = l.item_id),
+ranked as (select *, row_number() over (partition by r order by gap, u, sale_id, line_no, line_item_id) as rank from pairs),
+sums as (select r, count(*) as n_pairs, cast(sum(gap) as bigint) as gap_sum, cast(sum(crc) as bigint) as lines_crc from pairs group by r)
+select i.item_id, cast(coalesce(rank, 0) as int) as rank, gap, u, sale_id, line_no, line_item_id, coalesce(n_pairs, 0) as n_pairs, coalesce(gap_sum, 0) as gap_sum, coalesce(lines_crc, 0) as lines_crc
+from i left join sums using (r) left join (select * from ranked where rank <= 5) k on k.r = i.r
+"""
