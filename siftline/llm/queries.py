@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import compression
 from .bands import near_prices
 from .chat import digests, format_windows
 from .jaccard import linked_components
@@ -223,3 +224,12 @@ sums as (select r, count(*) as n_pairs, cast(sum(gap) as bigint) as gap_sum, cas
 select i.item_id, cast(coalesce(rank, 0) as int) as rank, gap, u, sale_id, line_no, line_item_id, coalesce(n_pairs, 0) as n_pairs, coalesce(gap_sum, 0) as gap_sum, coalesce(lines_crc, 0) as lines_crc
 from i left join sums using (r) left join (select * from ranked where rank <= 5) k on k.r = i.r
 """
+
+
+@query
+def op13_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learns = compression.learns(F.col("doc_id"), 4, 2)
+    labelled = docs.where(learns).select("doc_id", "text").join(labels.where("quality in (0, 1)").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    out = compression.score(docs, compression.train(labelled))
+    return out.select("doc_id", (~learns).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "difference")
