@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("siftline.llm")
 import corpus_pipeline
-from siftline.llm import jaccard, language, mixing_model, neighbours, packing, queries, substrings
+from siftline.llm import alignment, jaccard, language, mixing_model, neighbours, packing, queries, substrings
 from siftline.llm.chat import WindowBudget, digests, format_windows, read_back
 from siftline.llm.components import components
 from siftline.llm.jaccard import linked_components, one_of_each
@@ -378,30 +378,108 @@ def test_near_chains_equal_quadratic_ones():
         assert found[0][-1] == min(range(len(pts)), key=lambda q: (-best[q], q))
 
 
-def test_fuzzy_passages_share_seeds():
-    p = substrings.Passages()
-    r = np.random.default_rng(4)
-
-    def found(n, changed):
-        x, y = (r.integers(1, 2**63, n + 120).astype(np.uint64) for _ in range(2))
-        same = np.setdiff1d(np.arange(60, 60 + n), 60 + np.asarray(changed))
-        y[same] = x[same]
-        (kx, px), (ky, py) = substrings.seed_keys(x, p), substrings.seed_keys(y, p)
-        at = dict(zip(kx.tolist(), (px & 0xFFFFFFFF).tolist(), strict=True))
-        m = sorted((b, at[k]) for k, b in zip(ky.tolist(), (py & 0xFFFFFFFF).tolist(), strict=True) if k in at)
-        if len({b for b, _ in m}) < p.min_seeds:
-            return False
-        pb, pa = (np.array(c) for c in zip(*m, strict=True))
-        return substrings.spans_enough(pb, pa, p) and bool(substrings.align(x, y, pa, pb, p))
-
-    # share of changed words -> passages found of 100, of 60 and of 100 words
-    for share, least in ((0.0, (100, 100)), (0.1, (98, 100)), (0.15, (90, 98)), (0.2, (70, 95))):
-        got = [sum(found(n, r.choice(n, round(n * share), False)) for _ in range(100)) for n in (60, 100)]
-        assert all(g >= x for g, x in zip(got, least, strict=True)), (share, got)
-    for step, least in ((10, 95), (8, 95), (5, 70)):
-        got = sum(found(60, np.arange(r.integers(step), 60, step)) for _ in range(100))
-        assert got >= least, (step, got)
-    assert all(found(50, []) for _ in range(200))
+def seed_rows(x, y, p):
+    """Passages of one pair of texts as arrays of hashes, through seeds, chains and alignment."""
+    (kx, px), (ky, py) = substrings.seed_keys(x, p), substrings.seed_keys(y, p)
+    at = dict(zip(kx.tolist(), (px & 0xFFFFFFFF).tolist(), strict=True))
+    m = sorted((b, at[k]) for k, b in zip(ky.tolist(), (py & 0xFFFFFFFF).tolist(), strict=True) if k in at)
+    if len({b for b, _ in m}) < p.min_seeds:
+        return []
+    pb, pa = (np.array(c) for c in zip(*m, strict=True))
+    return substrings.align(x, y, pa, pb, p) if substrings.spans_enough(pb, pa, p) else []
+
+
+def edited(passage, share, kinds, r):
+    """The passage with a share of its words substituted (s), deleted (d) or with a word inserted before them (i)."""
+    at, out = set(r.choice(len(passage), round(len(passage) * share), False).tolist()), []
+    for i, w in enumerate(passage.tolist()):
+        kind = kinds[r.integers(len(kinds))] if i in at else ""
+        out += [int(r.integers(1, 2**62))] * (kind in ("s", "i")) + [w] * (kind not in ("s", "d"))
+    return np.array(out, np.uint64)
+
+
+@pytest.mark.parametrize("kinds", ["s", "sid"])
+def test_fuzzy_passages_are_found(kinds):
+    p, r = substrings.Passages(), np.random.default_rng(4)
+    some = lambda n: r.integers(1, 2**62, n).astype(np.uint64)
+    for share in (0.0, 0.05, 0.1, 0.15, 0.2):
+        for n in (52, 60, 80):
+            hits = tries = 0
+            while tries < 60:
+                said = some(n)
+                copy = edited(said, share, kinds, r)
+                path = alignment.between(said, copy)
+                if len(copy) < p.min_words or path[0].sum() < p.min_identity * len(path[0]):
+                    continue  # the quadratic alignment of the whole passage says that it is none
+                tries += 1
+                got = seed_rows(np.concatenate((some(60), said, some(60))), np.concatenate((some(45), copy, some(70))), p)
+                hits += any(min(x1, 60 + n) - max(x0, 60) >= 0.8 * n - 2 for x0, x1, *_ in got)
+                assert all(same >= 0.8 * max(x1 - x0, y1 - y0) for x0, x1, y0, y1, same in got)
+            assert hits >= 54, (share, n, hits)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1])
+@pytest.mark.parametrize("gap", [10, 20, 32, 40, 70])
+def test_passages_of_one_chain_are_told_apart(share, gap):
+    """Two passages with other words between them: both are found, and no word between them is in either."""
+    p, r = substrings.Passages(), np.random.default_rng(gap)
+    some = lambda n: r.integers(1, 2**62, n).astype(np.uint64)
+    for _ in range(20):
+        one, two = some(r.integers(55, 80)), some(r.integers(55, 80))
+        x = np.concatenate((some(50), one, some(gap), two, some(50)))
+        y = np.concatenate((some(40), edited(one, share, "s", r), some(gap + r.integers(-3, 4)), edited(two, share, "s", r), some(60)))
+        covered = np.zeros(len(x), bool)
+        for x0, x1, *_ in seed_rows(x, y, p):
+            covered[x0:x1] = True
+        a, b = 50 + len(one), 50 + len(one) + gap
+        assert covered[50:a].mean() > 0.85 and covered[b : b + len(two)].mean() > 0.85
+        assert covered.sum() == covered[50:a].sum() + covered[b : b + len(two)].sum()
+
+
+def test_short_parts_around_an_insertion_are_one_passage():
+    p, r = substrings.Passages(), np.random.default_rng(3)
+    some = lambda n: r.integers(1, 2**62, n).astype(np.uint64)
+    one, two = some(40), some(40)
+    x = np.concatenate((some(50), one, two, some(50)))
+    y = np.concatenate((some(50), one, some(12), two, some(50)))
+    assert seed_rows(x, y, p) == [(50, 130, 50, 142, 80)]
+
+
+def test_alignment_equals_a_plain_table():
+    r = np.random.default_rng(8)
+    for _ in range(60):
+        x, y = (r.integers(0, 4, r.integers(0, 9)) for _ in range(2))
+        t = [[-(i + j) if not i or not j else 0 for j in range(len(y) + 1)] for i in range(len(x) + 1)]
+        for i in range(1, len(x) + 1):
+            for j in range(1, len(y) + 1):
+                t[i][j] = max(t[i - 1][j - 1] + (1 if x[i - 1] == y[j - 1] else -1), t[i - 1][j] - 1, t[i][j - 1] - 1)
+        got = alignment.table(x, y, 1)
+        assert got.tolist() == t
+        ok, da, db = alignment.traced(got, x, y, len(x), len(y), 1)
+        assert da.sum() == len(x) and db.sum() == len(y) and 2 * ok.sum() - len(ok) == t[-1][-1]
+
+
+def test_longest_stretches_equal_brute_force():
+    r = np.random.default_rng(9)
+    for _ in range(200):
+        ok = r.random(r.integers(1, 40)) < 0.75
+        best = max((z - a for a in range(len(ok)) for z in range(a + 1, len(ok) + 1) if ok[a:z].sum() >= 0.8 * (z - a) - 1e-9), default=0)
+        a, z = alignment.longest(ok, 0.8)
+        assert z - a == best and (z == a or ok[a:z].sum() >= 0.8 * (z - a) - 1e-9)
+
+
+def test_cuts_keep_the_words_between_passages(spark):
+    r, rows, between = random.Random(41), [], []
+    for _ in range(20):
+        one, two = words(55, r), words(55, r)
+        for _ in range(2):
+            between.append(words(32, r))
+            rows.append((len(rows), " ".join(words(20, r) + one + between[-1] + two + words(20, r)), None, None, None))
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert substrings.passages(df).count() == 40
+    left = {x.doc_id: x.text for x in substrings.without_repeats(df).collect()}
+    assert sum(len(t.split()) for t in left.values()) == 40 * 182 - 20 * 110
+    assert all(" ".join(w) in left[i] for i, w in enumerate(between))
 
 
 def test_texts_meet_on_a_passage_of_frequent_lines(spark):
