@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only_columns
+from .common import materialize, only_columns
 from .tokens import text_pieces
 
 
@@ -68,15 +68,14 @@ def _texts(batch: pa.RecordBatch) -> Iterator[memoryview]:
             yield data[a:z]
 
 
-def _picked(labelled: DataFrame, p: Compression) -> DataFrame:
-    """(text, label, fits): of each label up to 2 * texts distinct texts by their hash; every second one is for the
-    calibration. Hashes are picked first, so no text is sorted; they are 4 * texts rows at most."""
-    h = labelled.select(F.xxhash64("text").alias("h"), "label").distinct().withColumn("o", F.xxhash64("h"))
+def _picked(docs: DataFrame, found: DataFrame, p: Compression) -> DataFrame:
+    """(p_h, text, label, fits): of found(h, label), hashes of labelled texts, up to 2 * texts distinct ones of each label by
+    a hash, with their texts; every second one is for the calibration. Only these are ever shuffled with their texts."""
+    h = found.distinct().withColumn("o", F.xxhash64("h"))
     of = lambda label: h.where(F.col("label") == label).orderBy("o", "h").limit(2 * p.texts)
-    rows = of(0).union(of(1)).select("h", "label", (F.pmod(F.xxhash64("o"), F.lit(2)) == 0).alias("fits"))
-    rows = F.broadcast(rows.withColumnsRenamed({"h": "p_h", "label": "p_label"}))
-    texts = labelled.join(rows, (F.xxhash64("text") == F.col("p_h")) & (F.col("label") == F.col("p_label")))
-    return texts.select("p_h", "text", "label", "fits").dropDuplicates(["p_h", "label"])
+    rows = of(0).union(of(1)).select(F.col("h").alias("p_h"), "label", (F.pmod(F.xxhash64("o"), F.lit(2)) == 0).alias("fits"))
+    texts = docs.join(F.broadcast(rows), F.xxhash64("text") == F.col("p_h"))  # 4 * texts rows at most
+    return materialize(texts.select("p_h", "text", "label", "fits").dropDuplicates(["p_h", "label"]))
 
 
 def _samples(picked: DataFrame, p: Compression) -> tuple[list[bytes], list[bytes]]:
@@ -135,18 +134,21 @@ def _with_difference(df: DataFrame, good: bytes, bad: bytes, p: Compression) ->
     return df.mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in rest], "d double", "s double"]))
 
 
-def train(labelled: DataFrame, p: Compression = Compression()) -> Model:
-    """A model of labelled(text, label) by its labels 0 and 1; other labels, null included, don't count, and a null text is
-    empty. Repeated texts are sampled once, but count in the shares of the labels, which the calibration keeps. Without one
-    of the labels, all scores are the share of label 1; without any, 0.5."""
-    rows = labelled.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("label").cast("int").alias("label")).where("label in (0, 1)")
+def train(docs: DataFrame, labels: DataFrame, p: Compression = Compression()) -> Model:
+    """A model of the texts of docs(doc_id, text) that labels(doc_id, label) calls 0 or 1; other labels, null included, and
+    ids without the other half don't count, and a null text is empty. Repeated texts are sampled once, but count in the shares
+    of the labels, which the calibration keeps. Without one of the labels, all scores are the share of label 1; without any,
+    0.5. Labels meet hashes of texts, not texts."""
+    docs = only_columns(docs, "doc_id", "text").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    labels = only_columns(labels, "doc_id", "label").select("doc_id", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
+    rows = materialize(docs.select("doc_id", F.xxhash64("text").alias("h")).join(labels, "doc_id").select("h", "label"))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     zero, one = counts.get(0, 0), counts.get(1, 0)
     share = one / (zero + one) if zero + one else 0.5
     flat = Model(b"", b"", 0.0, 0.0, 0.0, share)
     if not zero or not one:
         return flat
-    picked = _picked(rows, p)
+    picked = _picked(docs, rows, p)
     bad, good = _samples(picked, p)
     if not bad or not good:
         return flat

@@ -230,6 +230,6 @@ from i left join sums using (r) left join (select * from ranked where rank <= 5)
 def op13_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     learns = compression.learns(F.col("doc_id"), 4, 2)
-    labelled = docs.where(learns).select("doc_id", "text").join(labels.where("quality in (0, 1)").select("doc_id", F.col("quality").alias("label")), "doc_id")
-    out = compression.score(docs, compression.train(labelled))
+    model = compression.train(docs.where(learns), labels.withColumnRenamed("quality", "label"))
+    out = compression.score(docs, model)
     return out.select("doc_id", (~learns).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "difference")
