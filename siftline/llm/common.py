@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -114,6 +115,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries whose results have been written: it does so once the driver has
+    collected the plans as garbage, which a driver with memory to spare may not do for as long as a job runs."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release(name: str) -> None:
     """Delete the tables of a scope. Only for callers that have written all results that read them."""
     for spark, path in _written.pop(name, []):
