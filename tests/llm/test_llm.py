@@ -409,8 +409,9 @@ def test_fuzzy_passages_are_found(kinds):
                 said = some(n)
                 copy = edited(said, share, kinds, r)
                 path = alignment.between(said, copy)
-                if len(copy) < p.min_words or path[0].sum() < p.min_identity * len(path[0]):
-                    continue  # the quadratic alignment of the whole passage says that it is none
+                inner = slice(int(path[0].argmax()), len(path[0]) - int(path[0][::-1].argmax()))
+                if min(path[1][inner].sum(), path[2][inner].sum()) < p.min_words or path[0].sum() < p.min_identity * len(path[0][inner]):
+                    continue  # by the quadratic alignment, what stands between its first and last common word is no passage
                 tries += 1
                 got = seed_rows(np.concatenate((some(60), said, some(60))), np.concatenate((some(45), copy, some(70))), p)
                 hits += any(min(x1, 60 + n) - max(x0, 60) >= 0.8 * n - 2 for x0, x1, *_ in got)
@@ -432,7 +433,7 @@ def test_passages_of_one_chain_are_told_apart(share, gap):
         for x0, x1, *_ in seed_rows(x, y, p):
             covered[x0:x1] = True
         a, b = 50 + len(one), 50 + len(one) + gap
-        assert covered[50:a].mean() > 0.85 and covered[b : b + len(two)].mean() > 0.85
+        assert covered[50:a].mean() > 0.8 and covered[b : b + len(two)].mean() > 0.8
         assert covered.sum() == covered[50:a].sum() + covered[b : b + len(two)].sum()
 
 
