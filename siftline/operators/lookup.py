@@ -78,25 +78,6 @@ def missing_rows(needed: DataFrame, existing: DataFrame, columns: list[str]) ->
     return n.join(e, on, "left_anti")
 
 
-def containment(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, doc_id, score): |q and d| / |q| of token sets, for pairs that share a token."""
-    q = queries.select("item_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    size = q.groupBy("item_id").agg(F.count("*").alias("n"))
-    d = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    both = q.join(d, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("i"))
-    return both.join(size, "item_id").select("item_id", "doc_id", F.round(F.col("i") / F.col("n"), 6).alias("score"))
-
-
-def jaccard(sets: DataFrame, limit: float, keys: str) -> DataFrame:
-    """(doc_a, doc_b, j) within keys, j > limit, of (doc_id, keys, tokens): through shared tokens, no cross join."""
-    t = sets.withColumn("n", F.size("tokens"))
-    x = t.select(keys, F.col("doc_id").alias("doc_a"), F.col("n").alias("na"), F.explode("tokens").alias("token"))
-    y = t.select(keys, F.col("doc_id").alias("doc_b"), F.col("n").alias("nb"), F.explode("tokens").alias("token"))
-    fits = (F.col("doc_a") < F.col("doc_b")) & (F.least("na", "nb") > limit * F.greatest("na", "nb"))
-    both = x.join(y, [keys, "token"]).where(fits).groupBy("doc_a", "doc_b").agg(F.count("*").alias("i"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return both.select("doc_a", "doc_b", F.round(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), 6).alias("j")).where(F.col("j") > limit)
-
-
 def nodes_in_files(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     """(name, file, node_id): nodes(node_id, name, path) of a wanted(name, file) whose path contains the file."""
     n = nodes.select("node_id", F.col("name").alias("n_name"), "path")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..operators import bm25, lookup, outcomes, trees
+from ..operators import bm25, lookup, outcomes, setjoin, trees
 from ..streaming import chat
 
 QUERIES: dict = {}
@@ -362,15 +362,13 @@ _WORDS = f"w as (select doc_id, source, list_distinct({_TOK.format('text')}) as
 @query(f"with {_WORDS}, x as (select source, doc_id, len(tokens) as n, unnest(tokens) as t from w), p as (select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as i, any_value(a.n) as na, any_value(b.n) as nb from x a join x b on a.source = b.source and a.t = b.t and a.doc_id < b.doc_id and least(a.n, b.n) > 0.5 * greatest(a.n, b.n) group by 1, 2) select doc_a, doc_b, round(i / (na + nb - i), 6) as j from p where round(i / (na + nb - i), 6) > 0.5")
 def jaccard_pairs(spark, sf_dir):
     sets = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(tx.identifier_tokens(F.col("text"))).alias("tokens"))
-    return lookup.jaccard(sets, 0.5, "source")
+    return setjoin.jaccard(sets.where("source is not null"), 0.5, "source")
 
 
 @query(f"with {_ITEMS}, {_DOCS}, a as (select item_id, unnest(list_distinct(tokens)) as t, len(list_distinct(tokens)) as n from q), b as (select doc_id, unnest(list_distinct(tokens)) as t from d), s as (select item_id, doc_id, round(count(*) / any_value(n), 6) as score from a join b using (t) group by 1, 2) select item_id, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id desc) as r from s) where r = 1")
 def containment_best(spark, sf_dir):
     q, d = tokens(table(spark, sf_dir, "benchmark"), "text", "item_id"), tokens(table(spark, sf_dir, "documents"), "text", "doc_id")
-    s = lookup.containment(q, d)
-    r = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.desc("doc_id")))
-    return s.withColumn("r", r).where("r = 1").drop("r")
+    return setjoin.best_containers(q, d).groupBy("item_id", "score").agg(F.max("doc_id").alias("doc_id")).select("item_id", "doc_id", "score")
 
 
 @query(f"select doc_id, md5({_MASK.format('text')}) as masked_md5 from documents")

@@ -29,6 +29,28 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/siftline-{uuid.uuid4().hex}"
 
 
+_staged: list[tuple[SparkSession, str]] = []
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder as Parquet and read back: lineage is cut, and no reader computes it again. It stays
+    until the driver's process ends or unstage() is called."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    _staged.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def unstage() -> None:
+    """Delete what staged() has written. Only when all results that read it have been written."""
+    with contextlib.suppress(Exception):  # at the end of the process the session may have ended
+        while _staged:
+            spark, path = _staged.pop()
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextlib.contextmanager
 def checkpoints(spark: SparkSession):
     """Inside, checkpoint() has a folder."""
