@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.documents import scratch
+from ..sources.documents import staged
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -20,13 +22,53 @@ def document_frequency(docs: DataFrame) -> DataFrame:
 BROADCAST_TERMS = 200_000
 
 
-def index(docs: DataFrame) -> DataFrame:
-    """The inverted index (doc_id, token, tf, dl) of docs(doc_id, tokens), written to the shared folder: documents are
-    tokenised once, whatever is asked of it."""
+@dataclass(frozen=True)
+class Index:
+    """postings: (doc_id, token, tf, dl); terms: (token, idf, avgdl, df, bound), bound being no less than what one mention
+    of the token in a query adds to any document's score."""
+
+    postings: DataFrame
+    terms: DataFrame
+
+
+def index(docs: DataFrame) -> Index:
+    """The inverted index of docs(doc_id, tokens), in the shared folder: documents are tokenised once, whatever is asked of
+    it. Terms in more than half of the documents get the floor value."""
     rows = docs.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("token"))
-    path = scratch(docs.sparkSession)
-    rows.groupBy("doc_id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    held = staged(rows.groupBy("doc_id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
+    counted = held.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("all"), F.max("tf").alias("most"), F.min("dl").alias("least"))
+    counted = staged(counted)
+    about = docs.agg(F.count("*").alias("n")).crossJoin(F.broadcast(counted.agg(F.sum("all").alias("all")))).select("n", (F.col("all") / F.col("n")).alias("avgdl"))
+    raw = counted.crossJoin(F.broadcast(about)).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    raw = staged(raw)
+    eps = raw.agg((EPSILON * F.avg("raw")).alias("eps"))
+    idf = F.when(F.col("raw") < 0, F.col("eps")).otherwise(F.col("raw"))
+    terms = raw.crossJoin(F.broadcast(eps)).select("token", idf.alias("idf"), "avgdl", "df", "most", "least")
+    bound = F.greatest(F.lit(0.0), F.col("idf") * _saturated(F.col("most"), F.col("least"), F.col("avgdl")))
+    return Index(held, terms.select("token", "idf", "avgdl", "df", bound.alias("bound")))
+
+
+def _saturated(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What mentions of a term count for: rising with tf, falling with the length of the document."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, written; marked for broadcast if it has few rows."""
+    df = staged(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+
+
+def _asked(queries: DataFrame, terms: DataFrame) -> DataFrame:
+    """(item_id, token, weight, bound, avgdl, df): terms of queries(item_id, tokens) that the index has; repeated ones count as
+    often."""
+    asked = queries.select("item_id", F.explode("tokens").alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("times"))
+    some = terms.join(_small(asked.select("token").distinct()), "token", "left_semi")
+    return asked.join(some, "token").select("item_id", "token", (F.col("times") * F.col("idf")).alias("weight"), (F.col("times") * F.col("bound")).alias("bound"), "avgdl", "df")
+
+
+def _part() -> Column:
+    return F.col("weight") * _saturated(F.col("tf"), F.col("dl"), F.col("avgdl"))
 
 
 def scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -36,20 +78,49 @@ def scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     come from the whole index; only the terms of queries are followed in it.
     """
     held = index(docs)
-    counted = held.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-    about = docs.agg(F.count("*").alias("n")).crossJoin(F.broadcast(counted.agg(F.sum("tf").alias("all")))).select("n", (F.col("all") / F.col("n")).alias("avgdl"))
-    raw = counted.crossJoin(F.broadcast(about)).select("token", "avgdl", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
-    eps = raw.agg((EPSILON * F.avg("raw")).alias("eps"))
-    asked = queries.select("item_id", F.explode("tokens").alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("times"))
-    terms = asked.select("token").distinct()
-    few = terms.count() <= BROADCAST_TERMS
-    terms = F.broadcast(terms) if few else terms
-    idf = raw.join(terms, "token", "left_semi").crossJoin(F.broadcast(eps))
-    idf = idf.select("token", "avgdl", F.when(F.col("raw") < 0, F.col("eps")).otherwise(F.col("raw")).alias("idf"))
-    part = held.join(F.broadcast(idf) if few else idf, "token").select(
-        "doc_id", "token", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w")
-    )
-    return asked.join(part, "token").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("times") * F.col("w")), 6).alias("score"))
+    return held.postings.join(_small(_asked(queries, held.terms)), "token").groupBy("item_id", "doc_id").agg(F.round(F.sum(_part()), 6).alias("score"))
+
+
+#: Scores are sums of doubles, rounded to six places: bounds give way by more than that.
+SLACK = 1e-5
+
+
+def top_scores(queries: DataFrame, docs: DataFrame, k: int, seeds: int = 2000) -> DataFrame:
+    """(item_id, doc_id, score) of the k best documents of each query, and of those that tie with the kth: as top_k of
+    scores, but most postings of frequent terms are left alone.
+
+    A query's rarest terms, `seeds` postings or so, name a few documents, whose scores give a bound that the kth best
+    reaches. Terms whose largest possible weights add up to less can't lift a document there by themselves: only documents
+    with one of the others are candidates, and frequent terms are looked up for those that may still reach the bound. A query
+    without k such documents keeps all its terms.
+    """
+    held = index(docs)
+    q = staged(_asked(queries, held.terms))
+    by_df = Window.partitionBy("item_id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+    rare = q.withColumn("before", F.coalesce(F.sum("df").over(by_df), F.lit(0))).where(F.col("before") < seeds)
+    few = held.postings.join(_small(rare.select("item_id", "token", "weight", "avgdl")), "token").groupBy("item_id", "doc_id").agg(F.sum(_part()).alias("part"))
+    nth = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("part"), "doc_id"))
+    named = few.withColumn("r", nth).where(F.col("r") <= 2 * k).select("item_id", "doc_id")
+    known = _looked_up(named, q, held.postings).groupBy("item_id", "doc_id").agg(F.sum(_part()).alias("score"))
+    nth = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score")))
+    floor = known.withColumn("r", nth).where(F.col("r") == k).select("item_id", (F.col("score") - SLACK).alias("floor"))
+    by_bound = Window.partitionBy("item_id").orderBy("bound", F.desc("df"), "token")
+    q = q.join(floor, "item_id", "left").withColumn("below", F.sum("bound").over(by_bound))
+    q = staged(q.withColumn("needed", F.coalesce(F.col("below") >= F.col("floor"), F.lit(True))))
+    rest = q.where("not needed").groupBy("item_id").agg(F.sum("bound").alias("rest"))
+    about = q.select("item_id", "floor").distinct().join(rest, "item_id", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
+    found = held.postings.join(_small(q.where("needed").select("item_id", "token", "weight", "avgdl")), "token").groupBy("item_id", "doc_id").agg(F.sum(_part()).alias("part"))
+    found = staged(found.join(_small(about), "item_id").where(F.col("floor").isNull() | (F.col("part") + F.col("rest") >= F.col("floor"))).select("item_id", "doc_id", "part"))
+    more = _looked_up(found, q.where("not needed"), held.postings).select("item_id", "doc_id", _part().alias("part"))
+    total = found.unionByName(more).groupBy("item_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    best = F.rank().over(Window.partitionBy("item_id").orderBy(F.desc("score")))
+    return total.withColumn("r", best).where(F.col("r") <= k).drop("r")
+
+
+def _looked_up(pairs: DataFrame, q: DataFrame, postings: DataFrame) -> DataFrame:
+    """Postings of the documents of pairs(item_id, doc_id) for the terms of their queries."""
+    wanted = pairs.select("item_id", "doc_id").join(q.select("item_id", "token", "weight", "avgdl"), "item_id")
+    return postings.join(wanted, ["doc_id", "token"])
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score", keys: str = "item_id", tie: str = "doc_id") -> DataFrame:

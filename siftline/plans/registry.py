@@ -65,7 +65,7 @@ def tokenize_docs(spark, sf_dir):
 @query(f"with {_ITEMS}, {_DOCS}, {_bm25_sql('q', 'd', 's')} select item_id, doc_id, score, rnk from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rnk from s) where rnk <= 3")
 def bm25_topk(spark, sf_dir):
     q, d = tokens(table(spark, sf_dir, "benchmark"), "text", "item_id"), tokens(table(spark, sf_dir, "documents"), "text", "doc_id")
-    return bm25.top_k(bm25.scores(q, d), 3)
+    return bm25.top_k(bm25.top_scores(q, d, 3), 3)
 
 
 def _scaled_of(value: str) -> str:
