@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import shutil
 import tempfile
 import uuid
@@ -94,34 +93,34 @@ BATCH_ROWS = 2000
 
 
 @contextlib.contextmanager
-def _small_batches(spark: SparkSession):
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, None)
-    if before is None or not 0 < int(before) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+def _writing(spark: SparkSession):
+    """Settings while an intermediate table is written: small Arrow batches, and shuffle files that go as soon as the table is
+    there, not when the driver happens to collect its garbage."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = spark.conf.get(batch, None)
+    new = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if now is None or not 0 < int(now) <= BATCH_ROWS:
+        new[batch] = str(BATCH_ROWS)
+    before = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: cuts lineage, survives lost executors. Tables stay until
     their scope is released or the driver's process ends."""
     path = f"{shared_dir(df.sparkSession)}/siftline-{uuid.uuid4().hex}"
-    with _small_batches(df.sparkSession):
+    with _writing(df.sparkSession):
         df.write.parquet(path)
     _written.setdefault(_scopes[-1], []).append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of queries whose results have been written: it does so once the driver has
-    collected the plans as garbage, which a driver with memory to spare may not do for as long as a job runs."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def release(name: str) -> None:
     """Delete the tables of a scope. Only for callers that have written all results that read them."""
     for spark, path in _written.pop(name, []):
