@@ -52,6 +52,28 @@ def mask_volatile(text: Column) -> Column:
     return text
 
 
+def mask_code(code: Column, output: Column, limit: float = 0.8) -> Column:
+    """Trimmed lines of output; [CODE] stands for those of which a stretch of more than `limit` of the line also stands in
+    the code, its lines trimmed and joined by blanks. Null code masks nothing.
+
+    The longest common stretch isn't needed, only whether one of the least length that is enough is there. All stretches of
+    that length hold the middle of the line, so one search rules out most lines; the others are tried stretch by stretch.
+    """
+    blanks = F.lit(" \t\r\f\v")
+    lines = lambda x: F.transform(F.split(x, "\n"), lambda v: F.btrim(v, blanks))
+    joined = F.array_join(F.filter(lines(F.coalesce(code, F.lit(""))), lambda v: v != ""), " ")
+
+    def one(line: Column, known: Column) -> Column:
+        n = F.length(line)
+        enough = F.floor(n * limit).cast("int") + 1
+        middle = F.substr(line, n - enough + 1, 2 * enough - n)
+        tries = F.exists(F.sequence(F.lit(1), n - enough + 1), lambda i: F.contains(known, F.substr(line, i, enough)))
+        return F.when((n > 0) & F.contains(known, middle) & tries, "[CODE]").otherwise(line)
+
+    # The joined code as a variable of a lambda: it is computed once a row.
+    return F.get(F.transform(F.array(joined), lambda known: F.transform(lines(output), lambda line: one(line, known))), F.lit(0))
+
+
 def strip_ansi(text: Column) -> Column:
     return F.regexp_replace(text, r"\x1b\[[0-9;]*m", "")
 
@@ -258,16 +280,21 @@ def mask_ids(output: Column, failed_id: Column) -> Column:
 def code_blocks(text: Column) -> Column:
     """(start, end, content) of fenced blocks: lines from 0, from the line behind the opening fence, end exclusive; blocks in
     one line have none."""
-    lines = F.split(text, "\n")
+    found = F.regexp_extract_all(text, F.lit(r"(?s)(```.*?```)"), F.lit(1))
+    none = F.array().cast("array<struct<at: int, b: string>>")
 
-    def block(b: Column) -> Column:
-        inside = F.split(b, "\n")
-        start = F.array_position(lines, F.try_element_at(inside, F.lit(2))).cast("int") - 1
-        end = start + F.size(inside) - 2
-        return F.struct(start.alias("start"), end.alias("end"), F.array_join(F.slice(lines, start + 1, end - start), "\n").alias("content"))
+    def placed(acc: Column, b: Column) -> Column:  # a block begins at the first fence behind the one before
+        at = F.call_function("locate", b, text, acc["past"])
+        return F.struct((at + F.length(b)).alias("past"), F.array_append(acc["out"], F.struct(at.alias("at"), b.alias("b"))).alias("out"))
 
-    found = F.regexp_extract_all(text, F.lit(r"(?s)(```.*?```)"), F.lit(1))
-    return F.transform(F.filter(found, lambda b: b.contains("\n")), block)
+    blocks = F.aggregate(found, F.struct(F.lit(1).alias("past"), none.alias("out")), placed)["out"]
+
+    def block(x: Column) -> Column:
+        inside = F.split(x["b"], "\n")
+        start = F.size(F.split(F.substr(text, F.lit(1), x["at"] - 1), "\n"))
+        return F.struct(start.alias("start"), (start + F.size(inside) - 2).alias("end"), F.array_join(F.slice(inside, 2, F.size(inside) - 2), "\n").alias("content"))
+
+    return F.transform(F.filter(blocks, lambda x: x["b"].contains("\n")), block)
 
 
 def tagged_code(text: Column) -> Column:

@@ -221,11 +221,29 @@ def masked_ids(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tx.mask_ids(out, failed).alias("masked"))
 
 
-@query("with t as (select doc_id, 'intro ' || doc_id || chr(10) || '```python' || chr(10) || 'x = ' || doc_id || chr(10) || 'y' || chr(10) || '```' || chr(10) || 'mid `` ```one line``` end' || chr(10) || '```' || chr(10) || 'z' || doc_id || chr(10) || '```' as text from documents) select doc_id, unnest([0, 1]) as pos, unnest([2, 7]) as start, unnest([4, 8]) as \"end\", unnest(['x = ' || doc_id || chr(10) || 'y', 'z' || doc_id]) as content from t")
+@query("with d as (select doc_id, string_split(text, chr(10)) as l from documents where not contains(text, '```')) select doc_id, j as pos, 9 * j + 4 as start, 9 * j + 7 as \"end\", array_to_string(l[7 * j + 4 : 7 * j + 6], chr(10)) as content from (select doc_id, l, unnest(range(len(l) // 7 + 1)) as j from d) where 7 * j + 5 < len(l)")
 def code_block_lines(spark, sf_dir):
-    k = F.col("doc_id").cast("string")
-    text = F.concat(F.lit("intro "), k, F.lit("\n```python\nx = "), k, F.lit("\ny\n```\nmid `` ```one line``` end\n```\nz"), k, F.lit("\n```"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.code_blocks(text)).alias("pos", "b")).select("doc_id", "pos", "b.*")
+    """Each third to fifth of seven lines of a document in fences of their own lines."""
+    fence = lambda i, at, line, end: F.when(i % 7 == at, F.concat(F.lit("" if end else "```\n"), line, F.lit("\n```" if end else ""))).otherwise(line)
+    lines = F.transform(F.split("text", "\n"), lambda line, i: fence(i, 5, fence(i, 3, line, False), True))
+    d = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("```"))).select("doc_id", F.array_join(lines, "\n").alias("text"))
+    return d.select("doc_id", F.posexplode(tx.code_blocks(F.col("text"))).alias("pos", "b")).select("doc_id", "pos", "b.*")
+
+
+_CODE_MASK = """with p as (select d.doc_id, coalesce(d.text, '') as said, coalesce(c.text, '') as code from documents d left join documents c on c.doc_id = d.doc_id - 1),
+q as (select doc_id, list_transform(string_split(said, chr(10)), lambda x: trim(x, {blanks})) as l,
+  array_to_string(list_filter(list_transform(string_split(code, chr(10)), lambda x: trim(x, {blanks})), lambda x: x <> ''), ' ') as j from p),
+m as (select doc_id, list_transform(l, lambda x: case when length(x) > 0 and len(list_filter(range(1, length(x) - cast(floor(length(x) * 0.8) as int) + 1), lambda i: contains(j, substr(x, i, cast(floor(length(x) * 0.8) as int) + 1)))) > 0 then '[CODE]' else x end) as l from q)
+select doc_id, len(list_filter(l, lambda x: x = '[CODE]')) as n_masked, md5(array_to_string(l, chr(10))) as masked_md5 from m"""
+
+
+@query(_CODE_MASK.replace("{blanks}", "' ' || chr(9) || chr(13) || chr(12) || chr(11)"))
+def code_mask(spark, sf_dir):
+    """Lines of each document that mostly stand in the one before it."""
+    d = table(spark, sf_dir, "documents")
+    code = d.select((F.col("doc_id") + 1).alias("c_id"), F.col("text").alias("code"))
+    rows = d.join(code, F.col("doc_id") == F.col("c_id"), "left").select("doc_id", tx.mask_code(F.col("code"), F.coalesce("text", F.lit(""))).alias("l"))
+    return rows.select("doc_id", F.size(F.filter("l", lambda x: x == "[CODE]")).alias("n_masked"), F.md5(F.array_join("l", "\n")).alias("masked_md5"))
 
 
 @query("select conv_id, turn, case when turn % 2 = 0 then coalesce(text, '') else 'a' || coalesce(text, '') end as context from conversations where coalesce(text, '') not like '%<%code>%'")

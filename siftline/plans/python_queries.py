@@ -33,11 +33,6 @@ def traceback_match(spark, sf_dir):
     return logs.select("doc_id", fuzzy.similar("log", F.lit('  File "a/1.py", line 3, in run\n    x = f(en)\nValueError: en\n')).alias("matched"))
 
 
-@query()
-def code_mask(spark, sf_dir):
-    return _logs(spark, sf_dir).select("doc_id", fuzzy.masked_output(F.lit("def run():\n    x = f(en)\n"), "log").alias("masked"))
-
-
 @query()
 def extract_definitions(spark, sf_dir):
     return code.definition_table(_files(spark, sf_dir)).drop("code", "signature")

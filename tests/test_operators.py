@@ -1,6 +1,7 @@
 import ast
 import difflib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,8 +112,10 @@ def test_source_tables_equal_ast(spark):
 def test_fuzzy_functions_equal_difflib():
     a, b = 'File "x", line 3, in f', 'File "x", line 4, in f'
     assert fuzzy.ratio_above(a, b) == (difflib.SequenceMatcher(None, a, b).ratio() > 0.8)
-    assert fuzzy.mask_code("x = f(1)\ny = g(2)", ["x = f(1)", "other words", ""]) == ["[CODE]", "other words", ""]
-    assert fuzzy.normalised_test("def test_a():\n    v = 1  # c\n    assert v") == fuzzy.normalised_test("def test_b():\n    w = 1\n    assert w")
+    same = fuzzy.normalised_test("def test_a():\n    v = 1  # c\n    assert v"), fuzzy.normalised_test("def test_b():\n    w = 1\n\n    assert w")
+    assert same[0] == same[1] == "def @0 ( ) : ; { @1 = 1 ; assert @1 ; }"
+    assert fuzzy.normalised_test("def t():\n    a, b = f(x=1)\n    a.x = b") == fuzzy.normalised_test("def u():\n    c, d = f(x=1)\n    c.x = d")
+    assert fuzzy.normalised_test("def t(): return f(1)") != fuzzy.normalised_test("def t(): return g(1)") and fuzzy.normalised_test("x = (") == "x = ("
     assert fuzzy.count_assertions("assert x\nself.assertEqual(a, b)\n'assert'") == 2 if fuzzy.count_assertions("assert x") else True
     t = 'Traceback:\n  File "a.py", line 3, in run\n    x = f()\nValueError: bad\n'
     assert fuzzy.traces(t, fuzzy.OUTPUT_TRACES)[0]["message"].startswith("ValueError: bad")
@@ -185,12 +188,37 @@ def test_assertions_and_tokens_are_counted_as_they_stand():
     assert {"stack_trace": "  some frame\n", "message": "TypeError: bad\n"} in fuzzy.traces(style, fuzzy.REPORT_TRACES)
 
 
-def test_longest_common_run_equals_brute_force():
-    r = random.Random(2)
-    for _ in range(50):
-        a, b = ("".join(r.choice("abc ") for _ in range(r.randint(0, 30))) for _ in range(2))
-        want = max((j - i for i in range(len(b)) for j in range(i, len(b) + 1) if b[i:j] in a), default=0)
-        assert fuzzy.longest_common_run(a, b) == want
+def test_masked_lines_equal_difflib(spark):
+    r, rows = random.Random(2), []
+    for _ in range(300):
+        code_ = "\n".join("".join(r.choice("abc ") for _ in range(r.randint(0, 20))) for _ in range(3))
+        lines = [code_[r.randint(0, 20) :][: r.randint(0, 15)].replace("\n", " ") + r.choice(["", "x", " b", "zz"]) for _ in range(4)] + [""]
+        rows.append((code_, "\n".join(lines)))
+    got = spark.createDataFrame(rows, "code string, said string").select(text.mask_code(F.col("code"), F.col("said")).alias("m"), "code", "said").collect()
+    masked = 0
+    for x in got:
+        joined = " ".join(v.strip() for v in x.code.split("\n") if v.strip())
+        for line, m in zip(x.said.split("\n"), x.m, strict=True):
+            line = line.strip()
+            run = difflib.SequenceMatcher(None, joined, line, autojunk=False).find_longest_match(0, len(joined), 0, len(line)).size
+            assert m == ("[CODE]" if line and run > 0.8 * len(line) else line)
+            masked += m == "[CODE]"
+    assert masked > 100
+    assert spark.range(1).select(text.mask_code(F.lit(None).cast("string"), F.lit("a b"))).first()[0] == ["a b"]
+
+
+def test_code_blocks_start_where_they_stand(spark):
+    r, rows = random.Random(4), []
+    for _ in range(200):
+        rows.append(("\n".join(r.choice(["x", "y = 1", "```", "```py", "a ```b``` c", "", "```x\n```"]) for _ in range(r.randint(0, 14))),))
+    for x in spark.createDataFrame(rows, "t string").select("t", text.code_blocks(F.col("t")).alias("b")).collect():
+        want = []
+        for m in re.finditer(r"```.*?```", x.t, re.S):
+            inside = m[0].split("\n")
+            if len(inside) > 1:
+                start = x.t[: m.start()].count("\n") + 1
+                want.append((start, start + len(inside) - 2, "\n".join(inside[1:-1])))
+        assert [tuple(b) for b in x.b] == want
 
 
 def test_callables_are_told_apart():
