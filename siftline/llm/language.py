@@ -158,9 +158,11 @@ class ByteTagger:
 
 
 def train(docs: DataFrame, t: Training = Training()) -> ByteTagger | None:
-    """Fits the network to documents(text, lang); None if no document has both. Only the sample's windows reach the driver."""
+    """Fits the network to documents(text, lang); None if no document has both. Equal texts of a language count once. Only the
+    sample's windows reach the driver."""
     have = docs.where("text is not null and lang is not null and text <> ''")
-    counts = have.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(t.max_labels).collect()
+    have = have.select("text", "lang", F.xxhash64("text").alias("h"))
+    counts = have.groupBy("lang").agg(F.count_distinct("h").alias("count")).orderBy(F.desc("count"), "lang").limit(t.max_labels).collect()
     if not counts:
         return None
     labels = sorted(r["lang"] for r in counts)
@@ -169,7 +171,7 @@ def train(docs: DataFrame, t: Training = Training()) -> ByteTagger | None:
     each = max(1, min(t.docs_per_label, t.sample // len(labels)))
     rate = {r["lang"]: min(1.0, (3 * each + 30) / r["count"]) for r in counts}
     cut = F.element_at(F.create_map(*[F.lit(x) for kv in rate.items() for x in kv]), F.col("lang"))
-    picked = have.select("text", "lang", u.alias("u")).where(F.col("lang").isin(labels)).where(F.col("u") < cut)
+    picked = have.select("text", "lang", "h", u.alias("u")).where(F.col("lang").isin(labels)).where(F.col("u") < cut).dropDuplicates(["lang", "h"])
     first = F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))
 
     def windows(batches):

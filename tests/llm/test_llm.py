@@ -283,6 +283,14 @@ def test_order_of_words_counts(spark):
     assert all(got[1000 + i].score > 0.7 * got[2000 + i].score and abs(got[1000 + i].base_score - got[2000 + i].base_score) < 1e-9 for i in range(5))
 
 
+def test_scores_do_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    m = mixing_model.MixModel(task_tokens=30_000, batch=4096)
+    got = [{r.doc_id: r.score for r in mixing_model.score(df, ~held, m).collect()} for df in (docs.coalesce(1), docs.repartition(7, "doc_id"))]
+    assert got[0].keys() == got[1].keys() and all(abs(got[0][i] - got[1][i]) < 1e-6 for i in got[0])
+
+
 def test_held_out_scores_beat_the_unigram_base(spark, sf_dir):
     got = queries.op2_context_mixing(spark, sf_dir).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert got["s"] > got["b"]
