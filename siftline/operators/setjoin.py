@@ -21,6 +21,11 @@ def ordered(sets: DataFrame, keep: list[str], tokens: str = "tokens", frequent:
     """The columns of keep, with n and toks: hashes of the distinct tokens, rare ones first. keep tells the sets apart; empty
     and null sets have no row."""
     rows = sets.select(*keep, F.explode(F.array_distinct(tokens)).alias("t")).select(*keep, F.xxhash64("t").alias("t"))
+    return ordered_rows(rows, keep, frequent)
+
+
+def ordered_rows(rows: DataFrame, keep: list[str], frequent: DataFrame | None = None) -> DataFrame:
+    """ordered of rows with a distinct hash t each."""
     order = frequent_tokens(rows.select("t")) if frequent is None else frequent
     rows = rows.join(F.broadcast(order), "t", "left").select(*keep, F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t").alias("x"))
     grouped = rows.groupBy(*keep).agg(F.sort_array(F.collect_list("x")).alias("x"))

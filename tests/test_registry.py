@@ -1,7 +1,7 @@
 import oracle
 import pytest
 
-from siftline.plans import agent_queries, more_queries, python_queries, registry, structure_queries  # noqa: F401
+from siftline.plans import agent_queries, log_queries, more_queries, python_queries, registry, structure_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
