@@ -63,3 +63,32 @@ def running_delta(hunks: DataFrame) -> DataFrame:
     """Adds delta: lines that earlier hunks(patch, pos, added, removed) of the patch add or take away."""
     before = Window.partitionBy("patch").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return hunks.withColumn("delta", F.coalesce(F.sum(F.col("added") - F.col("removed")).over(before), F.lit(0)).cast("long"))
+
+
+def minimal_hunks(lines: DataFrame, context: int = 1) -> DataFrame:
+    """(patch, file, hunk, pre_start, pre_len, post_start, post_len, body) of lines(patch, file, old_hunk, pre_start, line_no,
+    line): the changes (+ and -) with so many lines around them, and no others.
+
+    The lines kept around one change are an interval; intervals that overlap or touch are one hunk, also across old hunks that
+    follow each other without a gap, and a hunk whose changes are far apart becomes several. Starts are counted anew: on the
+    old side from the lines before, on the new side by what the hunks before add and take away. Lines of an old hunk are
+    numbered in line_no, its first old line is pre_start; old hunks don't overlap.
+    """
+    of_hunk, of_file = Window.partitionBy("patch", "file", "old_hunk").orderBy("line_no"), Window.partitionBy("patch", "file").orderBy("old_hunk", "line_no")
+    sign = F.substring("line", 1, 1)
+    changed = F.when(sign.isin("+", "-"), F.col("line_no"))
+    x = lines.withColumns({
+        "last": F.max(changed).over(of_hunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "next": F.min(changed).over(of_hunk.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+        "old": (sign != "+").cast("long"), "new": (sign != "-").cast("long"),
+    })
+    x = x.withColumn("at", F.col("pre_start") + F.coalesce(F.sum("old").over(of_hunk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    x = x.where((F.col("line_no") - F.col("last") <= context) | (F.col("next") - F.col("line_no") <= context))
+    begins = F.coalesce(F.lag(F.col("at") + F.col("old")).over(of_file) != F.col("at"), F.lit(True))
+    x = x.withColumn("begins", begins.cast("long"))
+    x = x.withColumn("hunk", F.sum("begins").over(of_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    body = F.transform(F.sort_array(F.collect_list(F.struct("old_hunk", "line_no", "line"))), lambda y: y["line"])
+    h = x.groupBy("patch", "file", "hunk").agg(F.min("at").alias("pre_start"), F.sum("old").alias("pre_len"), F.sum("new").alias("post_len"), F.array_join(body, "\n").alias("body"))
+    before = Window.partitionBy("patch", "file").orderBy("hunk").rowsBetween(Window.unboundedPreceding, -1)
+    moved = F.coalesce(F.sum(F.col("post_len") - F.col("pre_len")).over(before), F.lit(0))
+    return h.select("patch", "file", "hunk", "pre_start", "pre_len", (F.col("pre_start") + moved).alias("post_start"), "post_len", "body")

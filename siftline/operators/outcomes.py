@@ -81,3 +81,17 @@ def shuffled_ranks(tests: DataFrame, seeds: int, key: str) -> DataFrame:
     rows = tests.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     order = F.md5(F.concat(F.col("seed").cast("string"), F.lit("-"), F.col(key).cast("string")))
     return rows.withColumn("rnk", F.row_number().over(Window.partitionBy("seed", "bug").orderBy(order)))
+
+
+def shuffled_first_success(tests: DataFrame, seeds: int, key: str) -> DataFrame:
+    """(seed, bug, first_rank, num): first_success of shuffled_ranks for each seed, without sorting or shuffling a row for each
+    seed: the first success stands behind the tests whose md5 is below the least md5 of one. The least ones are found first, a
+    row a bug and seed after each task has added up its own; a bug's are then one array beside its tests."""
+    order = lambda seed: F.md5(F.concat(seed.cast("string"), F.lit("-"), F.col(key).cast("string")))
+    each = F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))
+    least = tests.where("success").select("bug", key, each.alias("seed")).groupBy("bug", "seed").agg(F.min(order(F.col("seed"))).alias("least"))
+    least = least.groupBy(F.col("bug").alias("_bug")).agg(F.transform(F.sort_array(F.collect_list(F.struct("seed", "least"))), lambda x: x["least"]).alias("least"))
+    rows = tests.select("bug", key).join(least, F.col("bug").eqNullSafe(F.col("_bug")), "left").select("bug", key, "least", each.alias("seed"))
+    behind = F.count_if(order(F.col("seed")) < F.get("least", F.col("seed")))
+    won = F.first(F.col("least").isNotNull())
+    return rows.groupBy("seed", "bug").agg(F.when(won, behind + 1).otherwise(NO_SUCCESS).alias("first_rank"), F.count("*").alias("num"))

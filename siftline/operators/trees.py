@@ -8,8 +8,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..sources.documents import checkpoints
+from ..sources.documents import checkpoints, staged
 
 #: Depth at which unfolding stops, least and keyword weights.
 DEPTH, LEAST, KEYWORD, SPAN = 5, 0.1, 1.0, 0.9
@@ -30,6 +31,7 @@ def unfold(roots: DataFrame, edges: DataFrame, depth: int = DEPTH, stop_at_cycle
         cut = F.lit(d == depth)
         again = F.array_contains("path", F.col("dst")) & ~cut if stop_at_cycles else F.lit(False)
         level = grown.select("root", F.concat("path", F.array("dst")).alias("path"), F.lit(d).alias("depth"), F.col("dst").alias("name"), cut.alias("truncated"), again.alias("recursive"))
+        level = staged(level)  # no level computes those above it again
         out = out.unionByName(level)
     return out
 
@@ -127,6 +129,39 @@ def similarities(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, f"root_a {dict(pairs.dtypes)['root_a']}, root_b {dict(pairs.dtypes)['root_b']}, sim double")
 
 
+def likeness_bound(a: Column, b: Column) -> Column:
+    """No less than the similarity of two trees: a node that is kept has the same name in both, so of each name as much weight
+    is kept at most as the side with less of it has."""
+    names = lambda t: F.array_distinct(F.transform(t, lambda n: n["name"]))
+    held = lambda t, name: F.aggregate(F.filter(t, lambda n: n["name"] == name), F.lit(0.0), lambda s, n: s + n["weight"])
+    kept = F.aggregate(F.array_intersect(names(a), names(b)), F.lit(0.0), lambda s, name: s + 2 * F.least(held(a, name), held(b, name)))
+    total = F.aggregate(F.concat(a, b), F.lit(0.0), lambda s, n: s + n["weight"])
+    return F.when(total > 0, kept / total).otherwise(0.0)
+
+
+#: Similarities are rounded to six places: bounds give way by more than that.
+ROUNDED = 1e-5
+
+
+def most_similar(pairs: DataFrame, k: int) -> DataFrame:
+    """(root_a, root_b, sim, r): for each root_a of pairs(root_a, root_b, tree_a, tree_b) its k most similar ones, ties by
+    root_b.
+
+    The quadratic program runs for the k pairs of the largest bound first; the least of what they reach then leaves out all
+    pairs whose bound is lower. (root_a, root_b) is unique.
+    """
+    bounded = staged(pairs.withColumn("bound", likeness_bound(F.col("tree_a"), F.col("tree_b"))))
+    by_bound = F.row_number().over(Window.partitionBy("root_a").orderBy(F.desc("bound"), "root_b"))
+    ranked = bounded.select("root_a", "root_b", "bound").withColumn("r", by_bound)
+    first = ranked.where(F.col("r") <= k).select("root_a", "root_b")
+    tried = staged(similarities(bounded.join(first, ["root_a", "root_b"], "left_semi")))
+    floor = tried.groupBy("root_a").agg(F.min("sim").alias("floor"))
+    more = ranked.where(F.col("r") > k).join(floor, "root_a").where(F.col("bound") >= F.col("floor") - ROUNDED).select("root_a", "root_b")
+    every = tried.unionByName(similarities(bounded.join(more, ["root_a", "root_b"], "left_semi")))
+    nth = F.row_number().over(Window.partitionBy("root_a").orderBy(F.desc("sim"), "root_b"))
+    return every.withColumn("r", nth).where(F.col("r") <= k)
+
+
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node): all nodes that roots(root) reach along edges(src, dst), the root included; a join a step, until no
     step adds any. Each front is checkpointed, so that no step computes those before it again."""

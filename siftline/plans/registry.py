@@ -313,8 +313,7 @@ def wasted_effort(spark, sf_dir):
 
 @query(f"with {_FEAT}, r as (select seed, bug, success, row_number() over (partition by seed, bug order by md5(seed || '-' || test)) as rnk from f, (select unnest(range(100)) as seed)), fs as (select seed, bug, coalesce(min(rnk) filter (where success), 100000) as fr from r group by 1, 2) select cast(seed as int) as seed, n, count(*) filter (where fr <= n) as acc from fs, (values (1), (3), (5)) t(n) group by 1, 2")
 def random_baseline_md5(spark, sf_dir):
-    r = outcomes.shuffled_ranks(_features(spark, sf_dir).select("bug", "test", "success"), 100, "test")
-    first = r.groupBy("seed", "bug").agg(F.coalesce(F.min(F.when(F.col("success"), F.col("rnk"))), F.lit(outcomes.NO_SUCCESS)).alias("fr"))
+    first = outcomes.shuffled_first_success(_features(spark, sf_dir).select("bug", "test", "success"), 100, "test").withColumnRenamed("first_rank", "fr")
     rows = first.withColumn("n", F.explode(F.array(*[F.lit(x) for x in (1, 3, 5)])))
     return rows.groupBy("seed", "n").agg(F.count_if(F.col("fr") <= F.col("n")).alias("acc"))
 

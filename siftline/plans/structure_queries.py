@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import structure
-from .registry import query, table
+from ..functions import text as tx
+from ..operators import generation, lemmas, structure, trees
+from .registry import _TOK, _weighted, query, table
 
 
 def _nodes(spark, sf_dir, names: tuple[str, str, str, str]):
@@ -84,3 +85,67 @@ def dotted_lookup(spark, sf_dir):
     j = j.selectExpr("r_name as reg", "n_name as nat", "c_mktsegment as seg", "o_orderpriority as pri").distinct()
     keywords = j.select(F.explode(F.array(*[F.struct(F.expr(k).alias("keyword"), F.expr(p).alias("project")) for k, p in _KEYWORDS])).alias("k")).select("k.*")
     return structure.dotted_matches(keywords, structure.labelled(_nodes(spark, sf_dir, _WHOLE))).distinct()
+
+
+# The events of a user as the lines of a file, by their value: + and - are changes. Each 25 lines are an old hunk, with a gap
+# of 100 old lines behind each second one.
+_PATCH = """select user_id % 7 as patch, user_id as file, n // 25 as old_hunk, n % 25 as line_no,
+  case cast(floor(value) as int) % 10 when 0 then '+' when 1 then '-' else ' ' end || event_type as line, n from
+  (select user_id, event_type, value, row_number() over (partition by user_id order by ts, event_id) - 1 as n from events where event_type is not null and value is not null)"""
+_STARTS = """select *, 1 + 100 * (old_hunk // 2) + coalesce(sum(case when line not like '+%' then 1 end) over (partition by patch, file order by n rows between unbounded preceding and 1 preceding), 0) as run,
+  first_value(n) over (partition by patch, file, old_hunk order by line_no) as n0 from p"""
+
+
+def _patch_lines(spark, sf_dir):
+    """lines of generation.minimal_hunks; a hunk's first old line is what its first line would be counted as."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("siftline_events")
+    sql = _PATCH.replace("//", "div").replace("from events", "from siftline_events")
+    lines = spark.sql(f"with p as ({sql}), s as ({_STARTS.replace('//', 'div')}) select patch, file, old_hunk, line_no, line, first_value(run) over (partition by patch, file, old_hunk order by line_no) as pre_start from s")
+    return lines.select("patch", "file", "old_hunk", F.col("pre_start").cast("long").alias("pre_start"), F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@query(
+    f"""with p as ({_PATCH}), s as ({_STARTS}), l as (select patch, file, old_hunk, line_no, line, n, first_value(run) over (partition by patch, file, old_hunk order by line_no) as pre_start, left(line, 1) as c from s),
+k as (select *, max(line_no) filter (where c <> ' ') over (h rows unbounded preceding) as last, min(line_no) filter (where c <> ' ') over (h rows between current row and unbounded following) as next,
+  pre_start + count(*) filter (where c <> '+') over (h rows between unbounded preceding and current row) - case when c <> '+' then 1 else 0 end as at_ from l window h as (partition by patch, file, old_hunk order by line_no)),
+kept as (select *, case when c <> '+' then 1 else 0 end as old from k where line_no - last <= 1 or next - line_no <= 1),
+b as (select *, case when lag(at_ + old) over f = at_ then 0 else 1 end as begins from kept window f as (partition by patch, file order by n)),
+i as (select *, sum(begins) over (partition by patch, file order by n rows unbounded preceding) as hunk from b),
+g as (select patch, file, hunk, min(at_) as pre_start, sum(old) as pre_len, count(*) filter (where c <> '-') as post_len, string_agg(line, chr(10) order by n) as body from i group by 1, 2, 3)
+select patch, file, hunk, pre_start, pre_len, pre_start + coalesce(sum(post_len - pre_len) over (partition by patch, file order by hunk rows between unbounded preceding and 1 preceding), 0) as post_start, post_len, md5(body) as body_md5 from g"""
+)
+def minimal_patches(spark, sf_dir):
+    h = generation.minimal_hunks(_patch_lines(spark, sf_dir))
+    return h.select("patch", "file", "hunk", "pre_start", "pre_len", "post_start", "post_len", F.md5("body").alias("body_md5"))
+
+
+_WORDS = f"w as (select unnest({_TOK.format('text')}) as token from documents)"
+_FORMS = ", ".join(f"({i}, '{e}', '{to}')" for i, (e, to) in enumerate(lemmas.ENDINGS))
+_LEMMA_MAP = f"""{_WORDS}, v as (select token as word, count(*) as n from w group by 1 having count(*) >= 2),
+tries as (select word, left(word, length(word) - length(e)) || t as lemma, i from (select distinct token as word from w) x, (values {_FORMS}) r(i, e, t) where suffix(word, e) and not regexp_matches(word, '(ss|us)$')),
+map as (select word, arg_min(lemma, i) as lemma from tries where length(lemma) > 2 and lemma in (select word from v) group by 1)"""
+
+
+def _document_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.explode(tx.identifier_tokens(F.col("text"))).alias("token"))
+
+
+@query(f"with {_LEMMA_MAP} select * from map")
+def noun_lemmas(spark, sf_dir):
+    t = _document_tokens(spark, sf_dir)
+    return lemmas.base_forms(t.select(F.col("token").alias("word")), lemmas.vocabulary(t))
+
+
+@query(f"with {_LEMMA_MAP} select coalesce(lemma, token) as token, count(*) as n from w left join map on word = token group by 1")
+def lemma_frequency(spark, sf_dir):
+    t = _document_tokens(spark, sf_dir)
+    return lemmas.lemmatised(t, noun_lemmas(spark, sf_dir)).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query()
+def most_similar_trees(spark, sf_dir):
+    """Of the twelve next roots of each the two whose trees are most similar."""
+    g = trees.gathered(_weighted(spark, sf_dir, 3))
+    a, b = g.select(F.col("root").alias("root_a"), F.col("tree").alias("tree_a")), g.select(F.col("root").alias("root_b"), F.col("tree").alias("tree_b"))
+    a = a.withColumn("next", F.explode(F.sequence(F.col("root_a") + 1, F.col("root_a") + 12)))
+    return trees.most_similar(a.join(b, F.col("next") == F.col("root_b")).drop("next"), 2)

@@ -1,4 +1,5 @@
 import ast
+import datetime
 import difflib
 import random
 import re
@@ -161,22 +162,48 @@ def test_sources(spark, tmp_path):
     assert tables.refine(3, new, lambda df, i: df.withColumn("k", F.col("k") + i)).first().k == 8
 
 
+PIECES = "conv string, seq long, index int, id string, type string, name string, arguments string, content string, last boolean, at timestamp"
+
+
+def piece(c, k, i, n, at=None):
+    return (c, i, k, f"id{k}" if i == 0 else None, "function" if i == 0 else None, f"f{k}" if i == 0 else None, f"a{k}{i}", f"t{i}", i == n - 1, at)
+
+
+def streamed(spark, tmp_path, name, batches, idle_ms=None):
+    """The folded rows of a stream that gets the batches one after the other."""
+    src = str(tmp_path / "src")
+    for rows in batches:
+        spark.createDataFrame(rows, PIECES).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(PIECES).option("maxFilesPerTrigger", 1).parquet(src)
+    stream = stream if idle_ms is None else stream.withWatermark("at", "10 seconds")
+    with chat.rocks_db(spark):
+        q = chat.fold_stream(stream, idle_ms).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+    return [tuple(r) for r in spark.table(name).collect()], src
+
+
 def test_chat_stream_equals_batch(spark, tmp_path):
-    piece = lambda c, k, i, n: (c, i, k, f"id{k}" if i == 0 else None, "function" if i == 0 else None, f"f{k}" if i == 0 else None, f"a{k}{i}", f"t{i}", i == n - 1)
     rows = [piece(c, k, i, 3 + k) for c in ("c1", "c2") for k in range(2) for i in range(3 + k)]
-    random.Random(1).shuffle(rows)
-    rows.sort(key=lambda r: r[-1])  # end marks come last, all else in any order
-    schema = "conv string, seq long, index int, id string, type string, name string, arguments string, content string, last boolean"
-    src = str(tmp_path / "src")
-    for i in range(0, len(rows), 4):  # several micro-batches
-        spark.createDataFrame(rows[i : i + 4], schema).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = chat.fold_stream(stream).writeStream.format("memory").queryName("folded").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    batch = chat.fold(spark.read.parquet(src))
-    got = spark.table("folded").select(*batch.columns)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
-    assert {(r["index"], r.name, r.arguments) for r in got.collect()} == {(0, "f0", "a00a01a02"), (1, "f1", "a10a11a12a13")}
+    random.Random(1).shuffle(rows)  # end marks too come before other pieces
+    rows += rows[:3]  # and some pieces again
+    got, src = streamed(spark, tmp_path, "folded", [rows[i : i + 4] for i in range(0, len(rows), 4)])
+    batch = chat.fold(spark.read.parquet(src).dropDuplicates(["conv", "index", "seq"]))
+    whole = {tuple(r) for r in batch.collect()}
+    assert whole <= set(got) and len([r for r in got if r in whole]) == len(whole) == 4
+    assert {(r[1], r[4], r[5]) for r in whole} == {(0, "f0", "a00a01a02"), (1, "f1", "a10a11a12a13")}
+
+
+def test_idle_messages_are_put_out_when_the_watermark_passes(spark, tmp_path):
+    at = lambda s: datetime.datetime(2024, 1, 1, 12, 0, 0) + datetime.timedelta(seconds=s)
+    open_ = [piece("c1", 0, 1, 9, at(1)), piece("c1", 0, 0, 9, at(0))]  # its end never comes
+    batches = [open_, [piece("c2", 0, 0, 2, at(5))], [piece("c3", 0, 0, 1, at(300))], [piece("c2", 0, 1, 2, at(301))], [piece("c4", 0, 0, 1, at(900))]]
+    got, _ = streamed(spark, tmp_path, "idle", batches, 60_000)
+    found = {(r[0], r[5], r[6]) for r in got}
+    assert ("c1", "a00a01", "t0t1") in found and ("c3", "a00", "t0") in found and ("c4", "a00", "t0") in found
+    assert ("c2", "a00a01", "t0t1") in found  # its second piece came before the batch in which it was due
+    state = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "pieces").load()
+    left = {r.key.conv for r in state.select("key").collect()}
+    assert "c1" not in left and "c3" not in left and "c4" not in left
 
 
 def test_assertions_and_tokens_are_counted_as_they_stand():
@@ -188,6 +215,15 @@ def test_assertions_and_tokens_are_counted_as_they_stand():
     assert {"stack_trace": "  some frame\n", "message": "TypeError: bad\n"} in fuzzy.traces(style, fuzzy.REPORT_TRACES)
 
 
+def test_first_success_of_shuffles_equals_their_ranks(spark):
+    r = random.Random(3)
+    rows = [(r.randrange(6) if i else None, f"t{i}", r.random() < 0.2) for i in range(80)] + [(9, "only", False)]
+    t = spark.createDataFrame(rows, "bug int, test string, success boolean")
+    ranked = outcomes.shuffled_ranks(t, 7, "test").groupBy("seed", "bug").agg(F.coalesce(F.min(F.when(F.col("success"), F.col("rnk"))), F.lit(outcomes.NO_SUCCESS)).alias("first_rank"), F.count("*").alias("num"))
+    got = outcomes.shuffled_first_success(t, 7, "test").select(ranked.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, ranked.collect()))
+
+
 def test_masked_lines_equal_difflib(spark):
     r, rows = random.Random(2), []
     for _ in range(300):

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.operators import structure
+from siftline.operators import generation, lemmas, structure, trees
 
 SHAPE = "node_id string, parent_id string, name string"
 
@@ -87,3 +87,76 @@ def test_positions_are_gapless_over_ranges(spark):
 def test_empty_tree(spark):
     tree = structure.labelled(spark.createDataFrame([], SHAPE))
     assert tree.count() == structure.below(tree, tree).count() == structure.topmost(tree).count() == 0
+
+
+def brute_hunks(lines, context):
+    """Lines of one file as (old line, text) in order -> hunks as (pre_start, pre_len, post_start, post_len, body)."""
+    keep = set()
+    for i, (hunk, _, text) in enumerate(lines):
+        if text[0] in "+-":
+            keep |= {j for j in range(i - context, i + context + 1) if 0 <= j < len(lines) and lines[j][0] == hunk}
+    out, delta, end = [], 0, None
+    for i in sorted(keep):
+        _, at, text = lines[i]
+        if at != end:
+            out.append([at, 0, at, 0, []])
+        out[-1][1] += text[0] != "+"
+        out[-1][3] += text[0] != "-"
+        out[-1][4].append(text)
+        end = at + (text[0] != "+")
+    for h in out:
+        h[2] += delta
+        delta += h[3] - h[1]
+        h[4] = "\n".join(h[4])
+    return [tuple(h) for h in out]
+
+
+def test_minimal_hunks_equal_a_walk(spark):
+    r, rows, walked = random.Random(8), [], {}
+    for file in range(12):
+        at = 1
+        for hunk in range(4):
+            at += r.choice([0, 30])
+            start = at
+            for k in range(r.randint(1, 15)):
+                text = r.choice("+-    ") + f"l{k}"
+                rows.append((1, file, hunk, start, k, text))
+                walked.setdefault(file, []).append((hunk, at, text))
+                at += text[0] != "+"
+    df = spark.createDataFrame(rows, "patch long, file long, old_hunk long, pre_start long, line_no long, line string")
+    for context in (0, 1, 3):
+        got = {}
+        for x in generation.minimal_hunks(df, context).orderBy("file", "hunk").collect():
+            got.setdefault(x.file, []).append((x.pre_start, x.pre_len, x.post_start, x.post_len, x.body))
+        assert got == {f: h for f, lines in walked.items() if (h := brute_hunks(lines, context))}
+
+
+def test_lemmas_need_a_known_base_form(spark):
+    said = "test tests boxes box classes class glass news wolf wolves women woman cities city bus buses its it ss".split()
+    t = spark.createDataFrame([(w,) for w in said * 2 + ["once", "onces"]], "token string")
+    forms = {r.word: r.lemma for r in lemmas.base_forms(t.select(F.col("token").alias("word")), lemmas.vocabulary(t)).collect()}
+    assert forms == {"tests": "test", "boxes": "box", "classes": "class", "wolves": "wolf", "women": "woman", "cities": "city", "buses": "bus"}
+    got = [r.token for r in lemmas.lemmatised(t.where("token in ('tests', 'once')"), spark.createDataFrame(forms.items(), "word string, lemma string")).collect()]
+    assert sorted(got) == ["once", "test", "test"]
+
+
+def test_most_similar_trees_equal_all_pairs(spark):
+    r, rows = random.Random(9), []
+    for root in range(30):
+        tree = [(0, "r", 1.0)]
+        for _ in range(r.randint(0, 9)):
+            name = r.choice("abcde")
+            tree.append((r.randint(1, min(3, tree[-1][0] + 1)), name, 0.1 + "abcde".index(name) / 5))
+        rows.append((root, tree))
+    g = spark.createDataFrame(rows, f"root int, tree {trees.TREE}")
+    a, b = g.selectExpr("root as root_a", "tree as tree_a"), g.selectExpr("root as root_b", "tree as tree_b")
+    pairs = a.join(b, F.col("root_a") != F.col("root_b"))
+    every = {}
+    for x in trees.similarities(pairs).collect():
+        every.setdefault(x.root_a, []).append((-x.sim, x.root_b))
+    got = {}
+    for x in trees.most_similar(pairs, 3).collect():
+        got.setdefault(x.root_a, []).append((-x.sim, x.root_b))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:3] for k, v in every.items()}
+    bounds = pairs.withColumn("bound", trees.likeness_bound(F.col("tree_a"), F.col("tree_b"))).join(trees.similarities(pairs), ["root_a", "root_b"])
+    assert bounds.where("sim > bound + 1e-6").count() == 0
