@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import includes, messages, runlogs
+from ..sources import documents, lines
+from ..streaming import chat
 from .registry import query, table
 
 # A log for each user, in one of three dialects: an event is a line, by its type and value. Spark and DuckDB share the text.
@@ -93,3 +95,32 @@ def similar_messages(spark, sf_dir):
     lines = lambda key: d.select(key.alias("key"), F.explode(F.split("text", "\n")).alias("text"))
     found = messages.similar_keys(lines(F.col("doc_id")), lines(F.col("doc_id") + 1))
     return d.select("doc_id").join(found, F.col("doc_id") == F.col("key"), "left").select("doc_id", F.col("key").isNotNull().alias("similar"))
+
+
+@query("select conv_id, count(*) as n_turns, md5(string_agg(coalesce(text, ''), '' order by turn)) as text_md5 from conversations group by 1")
+def chat_fold_stream(spark, sf_dir):
+    """The turns of conversations as a stream of pieces, folded with state; the last turn of each carries the end mark. A stream
+    reads folders or patterns, so the table, which may be one file, is named by a pattern."""
+    c = table(spark, sf_dir, "conversations")
+    ends = c.groupBy(F.col("conv_id").alias("e_id")).agg(F.max("turn").alias("end"), F.count("*").alias("n_turns"))
+    none = F.lit(None).cast("string")
+    s = spark.readStream.schema(c.schema).parquet(f"{sf_dir}/conversations.parque[t]").join(ends, F.col("conv_id") == F.col("e_id"))
+    pieces = s.select(
+        F.col("conv_id").cast("string").alias("conv"), F.col("turn").cast("long").alias("seq"), F.lit(0).alias("index"), none.alias("id"), none.alias("type"), F.col("role").alias("name"),
+        none.alias("arguments"), F.coalesce("text", F.lit("")).alias("content"), (F.col("turn") == F.col("end")).alias("last"),
+    )
+    out = documents.scratch(spark)
+    with chat.rocks_db(spark):
+        chat.fold_stream(pieces).writeStream.format("parquet").option("path", out).option("checkpointLocation", documents.scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    folded = spark.read.schema(chat.FOLDED).parquet(out).select(F.col("conv").cast("long").alias("conv_id"), F.md5("content").alias("text_md5"))
+    return folded.join(ends, F.col("conv_id") == F.col("e_id")).select("conv_id", "n_turns", "text_md5")
+
+
+@query("select o_orderkey, o_orderstatus, o_totalprice from orders where o_orderstatus <> 'P'")
+def committed_lines(spark, sf_dir):
+    """Two jobs that append to one folder of JSON lines, the second one twice."""
+    lines.register(spark)
+    o, path = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), documents.scratch(spark)
+    for status, job in (("F", "first"), ("O", "second"), ("O", "second")):
+        o.where(F.col("o_orderstatus") == status).write.format("siftline_lines").mode("append").options(path=path, job=job).save()
+    return spark.read.format("siftline_lines").schema(o.schema).option("path", path).load()
