@@ -40,7 +40,6 @@ def index(docs: DataFrame) -> Index:
     counted = staged(counted)
     about = docs.agg(F.count("*").alias("n")).crossJoin(F.broadcast(counted.agg(F.sum("all").alias("all")))).select("n", (F.col("all") / F.col("n")).alias("avgdl"))
     raw = counted.crossJoin(F.broadcast(about)).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    raw = staged(raw)
     eps = raw.agg((EPSILON * F.avg("raw")).alias("eps"))
     idf = F.when(F.col("raw") < 0, F.col("eps")).otherwise(F.col("raw"))
     terms = raw.crossJoin(F.broadcast(eps)).select("token", idf.alias("idf"), "avgdl", "df", "most", "least")
@@ -78,24 +77,38 @@ def scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     come from the whole index; only the terms of queries are followed in it.
     """
     held = index(docs)
-    return held.postings.join(_small(_asked(queries, held.terms)), "token").groupBy("item_id", "doc_id").agg(F.round(F.sum(_part()), 6).alias("score"))
+    return _scored(held.postings, _asked(queries, held.terms))
+
+
+def _scored(postings: DataFrame, q: DataFrame) -> DataFrame:
+    terms = _small(q.select("item_id", "token", "weight", "avgdl"))
+    return postings.join(terms, "token").groupBy("item_id", "doc_id").agg(F.round(F.sum(_part()), 6).alias("score"))
 
 
 #: Scores are sums of doubles, rounded to six places: bounds give way by more than that.
 SLACK = 1e-5
 
 
-def top_scores(queries: DataFrame, docs: DataFrame, k: int, seeds: int = 2000) -> DataFrame:
+#: So many postings are scored as they are: the steps of bounds take longer.
+FEW_POSTINGS = 20_000_000
+
+
+def top_scores(queries: DataFrame, docs: DataFrame, k: int, seeds: int = 2000, few: int = FEW_POSTINGS) -> DataFrame:
     """(item_id, doc_id, score) of the k best documents of each query, and of those that tie with the kth: as top_k of
     scores, but most postings of frequent terms are left alone.
 
     A query's rarest terms, `seeds` postings or so, name a few documents, whose scores give a bound that the kth best
     reaches. Terms whose largest possible weights add up to less can't lift a document there by themselves: only documents
     with one of the others are candidates, and frequent terms are looked up for those that may still reach the bound. A query
-    without k such documents keeps all its terms.
+    without k such documents keeps all its terms. If all terms have `few` postings at most, these are scored at once, with
+    the same result.
     """
     held = index(docs)
     q = staged(_asked(queries, held.terms))
+    if (q.agg(F.sum("df")).first()[0] or 0) <= few:
+        total = _scored(held.postings, q)
+        best = F.rank().over(Window.partitionBy("item_id").orderBy(F.desc("score")))
+        return total.withColumn("r", best).where(F.col("r") <= k).drop("r")
     by_df = Window.partitionBy("item_id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
     rare = q.withColumn("before", F.coalesce(F.sum("df").over(by_df), F.lit(0))).where(F.col("before") < seeds)
     few = held.postings.join(_small(rare.select("item_id", "token", "weight", "avgdl")), "token").groupBy("item_id", "doc_id").agg(F.sum(_part()).alias("part"))
@@ -106,21 +119,29 @@ def top_scores(queries: DataFrame, docs: DataFrame, k: int, seeds: int = 2000) -
     floor = known.withColumn("r", nth).where(F.col("r") == k).select("item_id", (F.col("score") - SLACK).alias("floor"))
     by_bound = Window.partitionBy("item_id").orderBy("bound", F.desc("df"), "token")
     q = q.join(floor, "item_id", "left").withColumn("below", F.sum("bound").over(by_bound))
-    q = staged(q.withColumn("needed", F.coalesce(F.col("below") >= F.col("floor"), F.lit(True))))
-    rest = q.where("not needed").groupBy("item_id").agg(F.sum("bound").alias("rest"))
-    about = q.select("item_id", "floor").distinct().join(rest, "item_id", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
-    found = held.postings.join(_small(q.where("needed").select("item_id", "token", "weight", "avgdl")), "token").groupBy("item_id", "doc_id").agg(F.sum(_part()).alias("part"))
-    found = staged(found.join(_small(about), "item_id").where(F.col("floor").isNull() | (F.col("part") + F.col("rest") >= F.col("floor"))).select("item_id", "doc_id", "part"))
-    more = _looked_up(found, q.where("not needed"), held.postings).select("item_id", "doc_id", _part().alias("part"))
-    total = found.unionByName(more).groupBy("item_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    needed = F.coalesce(F.col("below") >= F.col("floor"), F.lit(True))
+    rest = F.sum(F.when(~F.col("needed"), F.col("bound"))).over(Window.partitionBy("item_id"))
+    q = q.withColumn("needed", needed).withColumn("rest", F.coalesce(rest, F.lit(0.0)))
+    # The terms that aren't needed are looked up in two steps, those of the larger bounds first.
+    q = staged(q.withColumn("step", F.when(F.col("needed"), 0).when(F.col("below") > F.col("rest") / 2, 1).otherwise(2)))
+    terms = lambda step: q.where(F.col("step") == step)
+    left = q.groupBy("item_id").agg(F.first("floor").alias("floor"), F.first("rest").alias("rest"), F.coalesce(F.sum(F.when(F.col("step") == 2, F.col("bound"))), F.lit(0.0)).alias("last"))
+    left = _small(left)
+    reaches = lambda bound: F.col("floor").isNull() | (F.col("part") + F.col(bound) >= F.col("floor"))
+    found = held.postings.join(_small(terms(0).select("item_id", "token", "weight", "avgdl")), "token").groupBy("item_id", "doc_id").agg(F.sum(_part()).alias("part"))
+    for step, bound in ((1, "rest"), (2, "last")):
+        found = staged(found.join(left, "item_id").where(reaches(bound)).select("item_id", "doc_id", "part"))
+        more = _looked_up(found, terms(step), held.postings).select("item_id", "doc_id", _part().alias("part"))
+        found = found.unionByName(more).groupBy("item_id", "doc_id").agg(F.sum("part").alias("part"))
+    total = found.select("item_id", "doc_id", F.round("part", 6).alias("score"))
     best = F.rank().over(Window.partitionBy("item_id").orderBy(F.desc("score")))
     return total.withColumn("r", best).where(F.col("r") <= k).drop("r")
 
 
 def _looked_up(pairs: DataFrame, q: DataFrame, postings: DataFrame) -> DataFrame:
     """Postings of the documents of pairs(item_id, doc_id) for the terms of their queries."""
-    wanted = pairs.select("item_id", "doc_id").join(q.select("item_id", "token", "weight", "avgdl"), "item_id")
-    return postings.join(wanted, ["doc_id", "token"])
+    rows = postings.join(_small(q.select("item_id", "token", "weight", "avgdl")), "token")
+    return rows.join(_small(pairs.select("item_id", "doc_id")), ["item_id", "doc_id"], "left_semi")
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score", keys: str = "item_id", tie: str = "doc_id") -> DataFrame:

@@ -44,16 +44,15 @@ def _least(limit: float, n: Column) -> Column:
 
 def jaccard_candidates(sets: DataFrame, limit: float, key: str) -> DataFrame:
     """(doc_a, doc_b, na, nb), doc_a < doc_b: pairs of sets(doc_id, key, n, toks) of one key that may share limit of their
-    union. They have a token of both prefixes in common, fit in size, and have enough tokens left behind the first one."""
-    long = F.col("n") - _least(limit, F.col("n")) + 1
-    p = sets.select("doc_id", key, "n", F.posexplode(F.slice("toks", 1, long.cast("int"))).alias("at", "t"))
-    side = lambda s: p.select(key, "t", F.col("doc_id").alias(f"doc_{s}"), F.col("n").alias(f"n{s}"), (F.col("n") - F.col("at")).alias(f"left_{s}"))
+    union. They fit in size, and what their prefixes have in common is enough together with what stands behind the prefix of
+    either: a common token that is not in both prefixes stands behind that of the set whose prefix ends first."""
+    behind = lambda n: _least(limit, n) - 1
+    p = sets.select("doc_id", key, "n", F.explode(F.slice("toks", 1, (F.col("n") - behind(F.col("n"))).cast("int"))).alias("t"))
+    side = lambda s: p.select(key, "t", F.col("doc_id").alias(f"doc_{s}"), F.col("n").alias(f"n{s}"))
     fits = (F.col("doc_a") < F.col("doc_b")) & (F.least("na", "nb") >= _least(limit, F.greatest("na", "nb")))
     common = F.ceil(limit / (1 + limit) * (F.col("na") + F.col("nb")) - 1e-9)
-    pairs = side("a").join(side("b"), [key, "t"]).where(fits)
-    # The first common token is the one with most left behind it; only that one may be held against the bound.
-    pairs = pairs.groupBy("doc_a", "doc_b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max(F.least("left_a", "left_b")).alias("left"))
-    return pairs.where(F.col("left") >= common).select("doc_a", "doc_b", "na", "nb")
+    pairs = side("a").join(side("b"), [key, "t"]).where(fits).groupBy("doc_a", "doc_b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return pairs.where(F.col("c") + F.greatest(behind(F.col("na")), behind(F.col("nb"))) >= common).select("doc_a", "doc_b", "na", "nb")
 
 
 def jaccard(sets: DataFrame, limit: float, key: str) -> DataFrame:

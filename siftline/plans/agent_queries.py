@@ -10,7 +10,7 @@ from ..functions import text as tx
 from ..operators import agent, bm25, code, generation, lookup, outcomes, projects, trees
 from ..sources import documents, tables
 from .python_queries import _files
-from .registry import _FEAT, _features, query, table
+from .registry import _FEAT, _features, query, spread, table
 
 # JSON, CSV, JSON lines, saved trees
 
@@ -320,7 +320,7 @@ def hunk_deltas(spark, sf_dir):
 
 @query(f"with {_FEAT}, r as (select seed, bug, success, row_number() over (partition by seed, bug order by md5(seed || '-' || test)) as rnk from f, (select unnest(range(100)) as seed)), fs as (select seed, bug, coalesce(min(rnk) filter (where success), 100000) as fr, count(*) as num from r group by 1, 2) select cast(seed as int) as seed, n, cast(sum(case when fr <= n then fr - 1 else least(num, n) end) as bigint) as total from fs, (values (1), (3), (5)) t(n) group by 1, 2")
 def random_wasted_effort(spark, sf_dir):
-    first = outcomes.shuffled_first_success(_features(spark, sf_dir).select("bug", "test", "success"), 100, "test")
+    first = outcomes.shuffled_first_success(spread(_features(spark, sf_dir).select("bug", "test", "success")), 100, "test")
     rows = first.withColumn("n", F.explode(F.array(*[F.lit(x) for x in (1, 3, 5)])))
     waste = F.when(F.col("first_rank") <= F.col("n"), F.col("first_rank") - 1).otherwise(F.least("num", "n"))
     return rows.groupBy("seed", "n").agg(F.sum(waste).alias("total"))

@@ -28,8 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a file of few splits gives few tasks, and what follows costs more than moving its rows once."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def tokens(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    return df.select(*keep, tx.identifier_tokens(F.col(text)).alias("tokens"))
+    return spread(df.select(*keep, text)).select(*keep, tx.identifier_tokens(F.col(text)).alias("tokens"))
 
 
 # Identifier tokens of a column {0} in DuckDB.
@@ -313,7 +319,7 @@ def wasted_effort(spark, sf_dir):
 
 @query(f"with {_FEAT}, r as (select seed, bug, success, row_number() over (partition by seed, bug order by md5(seed || '-' || test)) as rnk from f, (select unnest(range(100)) as seed)), fs as (select seed, bug, coalesce(min(rnk) filter (where success), 100000) as fr from r group by 1, 2) select cast(seed as int) as seed, n, count(*) filter (where fr <= n) as acc from fs, (values (1), (3), (5)) t(n) group by 1, 2")
 def random_baseline_md5(spark, sf_dir):
-    first = outcomes.shuffled_first_success(_features(spark, sf_dir).select("bug", "test", "success"), 100, "test").withColumnRenamed("first_rank", "fr")
+    first = outcomes.shuffled_first_success(spread(_features(spark, sf_dir).select("bug", "test", "success")), 100, "test").withColumnRenamed("first_rank", "fr")
     rows = first.withColumn("n", F.explode(F.array(*[F.lit(x) for x in (1, 3, 5)])))
     return rows.groupBy("seed", "n").agg(F.count_if(F.col("fr") <= F.col("n")).alias("acc"))
 
@@ -360,7 +366,7 @@ _WORDS = f"w as (select doc_id, source, list_distinct({_TOK.format('text')}) as
 
 @query(f"with {_WORDS}, x as (select source, doc_id, len(tokens) as n, unnest(tokens) as t from w), p as (select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as i, any_value(a.n) as na, any_value(b.n) as nb from x a join x b on a.source = b.source and a.t = b.t and a.doc_id < b.doc_id and least(a.n, b.n) > 0.5 * greatest(a.n, b.n) group by 1, 2) select doc_a, doc_b, round(i / (na + nb - i), 6) as j from p where round(i / (na + nb - i), 6) > 0.5")
 def jaccard_pairs(spark, sf_dir):
-    sets = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(tx.identifier_tokens(F.col("text"))).alias("tokens"))
+    sets = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", F.array_distinct(tx.identifier_tokens(F.col("text"))).alias("tokens"))
     return setjoin.jaccard(sets.where("source is not null"), 0.5, "source")
 
 
@@ -372,7 +378,7 @@ def containment_best(spark, sf_dir):
 
 @query(f"select doc_id, md5({_MASK.format('text')}) as masked_md5 from documents")
 def mask_volatile(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.mask_volatile(F.col("text"))).alias("masked_md5"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.md5(tx.mask_volatile(F.col("text"))).alias("masked_md5"))
 
 
 _WRAP = "'<think>no</think><result>```python' || chr(10) || coalesce(text, '') || chr(10) || '```' || chr(10) || '```' || chr(10) || coalesce(role, '') || '```</result>'"

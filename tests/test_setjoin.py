@@ -53,9 +53,9 @@ def test_top_scores_equal_all_scores(spark):
     every = {}
     for x in bm25.scores(q, d).collect():
         every.setdefault(x.item_id, []).append((-x.score, x.doc_id))
-    for k, seeds in ((1, 5), (3, 50), (20, 2000)):
+    for k, seeds, few in ((1, 5, 0), (3, 50, 0), (20, 2000, 0), (3, 50, 10**6)):
         got = {}
-        for x in bm25.top_scores(q, d, k, seeds).collect():
+        for x in bm25.top_scores(q, d, k, seeds, few).collect():
             got.setdefault(x.item_id, []).append((-x.score, x.doc_id))
         for i, found in every.items():
             last = sorted(found)[: k][-1][0]
