@@ -88,7 +88,7 @@ def bm25_minmax(spark, sf_dir):
     return bm25.min_max_of(bm25.scores(q, d), d, "score", "sim").drop("score")
 
 
-_NAME_DOC = f"n as (select doc_id, {_TOK.format('coalesce(source, chr(32)) || chr(32) || coalesce(lang, chr(32)) || chr(32) || coalesce(left(text, 200), chr(32))')} as tokens from documents)"
+_NAME_DOC = f"n as (select doc_id, {_TOK.format('coalesce(source, chr(32)) || chr(32) || coalesce(lang, chr(32)) || chr(32) || coalesce(split_part(text, chr(10), 1), chr(32))')} as tokens from documents)"
 
 
 @query(
@@ -101,7 +101,7 @@ _NAME_DOC = f"n as (select doc_id, {_TOK.format('coalesce(source, chr(32)) || ch
 def semantic_blend_topk(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     q, code = tokens(table(spark, sf_dir, "benchmark"), "text", "item_id"), tokens(docs, "text", "doc_id")
-    label = F.concat_ws(" ", *[F.coalesce(c, F.lit(" ")) for c in (F.col("source"), F.col("lang"), F.substring("text", 1, 200))])
+    label = F.concat_ws(" ", *[F.coalesce(c, F.lit(" ")) for c in (F.col("source"), F.col("lang"), F.substring_index("text", "\n", 1))])
     name = docs.select("doc_id", tx.identifier_tokens(label).alias("tokens"))
     return bm25.top_k(bm25.blend(bm25.scores(q, name), bm25.scores(q, code), docs), 5, by="sem")
 
@@ -125,9 +125,9 @@ def subset_semi(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(ids, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)")
 def resume_anti(spark, sf_dir):
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     return lookup.not_done(table(spark, sf_dir, "customer").select("c_custkey"), done, "c_custkey")
 
 
