@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy
 from ..operators import code
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def _logs(spark, sf_dir):
@@ -19,7 +19,8 @@ def _files(spark, sf_dir):
         F.lit("import os\nfrom a.b import c as d\nLIMIT = 3\n\n\nclass TestPart"), F.col("p_partkey").cast("string"), F.lit('(Base):\n    """Doc."""\n    size = '), F.col("p_size").cast("string"),
         F.lit("\n\n    def test_size(self):\n        assert self.size == LIMIT  # checked\n        self.assertTrue(c())\n\n\ndef helper(x):\n    return os.path.join(x)\n"),
     )
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))
+    # The table is small beside its files and their parse: its rows are spread before.
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))
 
 
 @query()
