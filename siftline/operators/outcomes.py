@@ -83,10 +83,31 @@ def shuffled_ranks(tests: DataFrame, seeds: int, key: str) -> DataFrame:
     return rows.withColumn("rnk", F.row_number().over(Window.partitionBy("seed", "bug").orderBy(order)))
 
 
-def shuffled_first_success(tests: DataFrame, seeds: int, key: str) -> DataFrame:
+#: A bug of so many tests at most is ranked in one row; others are added up by all tasks.
+FEW_TESTS = 10_000
+
+
+def shuffled_first_success(tests: DataFrame, seeds: int, key: str, few: int = FEW_TESTS) -> DataFrame:
     """(seed, bug, first_rank, num): first_success of shuffled_ranks for each seed, without sorting or shuffling a row for each
-    seed: the first success stands behind the tests whose md5 is below the least md5 of one. The least ones are found first, a
-    row a bug and seed after each task has added up its own; a bug's are then one array beside its tests."""
+    seed: the first success stands behind the tests whose md5 is below the least md5 of one. The tests of a bug are moved once, as
+    an array that gives the ranks of all seeds; bugs of more than `few` tests go another way."""
+    counts = tests.groupBy(F.col("bug").alias("_bug")).agg(F.count("*").alias("_tests"))
+    long = F.broadcast(counts.where(F.col("_tests") > few).select("_bug"))
+    on = F.col("bug").eqNullSafe(F.col("_bug"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed")
+    rows = tests.select("bug", F.col(key).cast("string").alias("k"), F.coalesce("success", F.lit(False)).alias("s")).join(long, on, "left_anti")
+    rows = rows.groupBy("bug").agg(F.collect_list(F.struct("k", "s")).alias("x")).select("bug", "x", each)
+    order = F.transform("x", lambda t: F.struct(F.md5(F.concat(F.col("seed").cast("string"), F.lit("-"), t["k"])).alias("h"), t["s"].alias("s")))
+    rows = rows.select("seed", "bug", order.alias("x"))
+    rows = rows.select("seed", "bug", "x", F.array_min(F.transform(F.filter("x", lambda t: t["s"]), lambda t: t["h"])).alias("least"))
+    behind = F.size(F.filter("x", lambda t: t["h"] < F.col("least"))).cast("long")
+    rows = rows.select("seed", "bug", F.when(F.col("least").isNotNull(), behind + 1).otherwise(NO_SUCCESS).alias("first_rank"), F.size("x").cast("long").alias("num"))
+    return rows.unionByName(_long_first_success(tests.join(long, on, "left_semi"), seeds, key))
+
+
+def _long_first_success(tests: DataFrame, seeds: int, key: str) -> DataFrame:
+    """shuffled_first_success of bugs of many tests. The least md5 are found first, a row a bug and seed after each task has added
+    up its own; a bug's are then one array beside its tests."""
     order = lambda seed: F.md5(F.concat(seed.cast("string"), F.lit("-"), F.col(key).cast("string")))
     each = F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))
     least = tests.where("success").select("bug", key, each.alias("seed")).groupBy("bug", "seed").agg(F.min(order(F.col("seed"))).alias("least"))
