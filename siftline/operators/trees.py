@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -104,6 +105,19 @@ def edit_distance(a: list[tuple[int, str, float]], b: list[tuple[int, str, float
     return dist[-1][-1] if na and nb else sum(w for _, _, w in [*a, *b])
 
 
+@lru_cache(1 << 14)
+def _shape_distance(a: tuple, b: tuple) -> float:
+    return edit_distance(a, b)
+
+
+def shape_distance(a: list[tuple[int, str, float]], b: list[tuple[int, str, float]]) -> float:
+    """edit_distance, which asks only which names are equal: trees that differ in nothing else are compared once a process, as
+    long as the last ones are held."""
+    numbers: dict[str, int] = {}
+    shape = lambda t: tuple((depth, numbers.setdefault(name, len(numbers)), weight) for depth, name, weight in t)
+    return _shape_distance(shape(a), shape(b))
+
+
 TREE = "array<struct<depth: int, name: string, weight: double>>"
 
 
@@ -123,7 +137,7 @@ def similarities(pairs: DataFrame) -> DataFrame:
             sims = []
             for x, y in zip(map(as_list, f["tree_a"]), map(as_list, f["tree_b"]), strict=True):
                 total = sum(w for _, _, w in [*x, *y])
-                sims.append(0.0 if not x or not y or not total else round(1 - edit_distance(x, y) / total, 6))
+                sims.append(0.0 if not x or not y or not total else round(1 - shape_distance(x, y) / total, 6))
             yield pd.DataFrame({"root_a": f["root_a"], "root_b": f["root_b"], "sim": sims})
 
     return pairs.mapInPandas(run, f"root_a {dict(pairs.dtypes)['root_a']}, root_b {dict(pairs.dtypes)['root_b']}, sim double")
