@@ -178,12 +178,13 @@ def most_similar(pairs: DataFrame, k: int) -> DataFrame:
 
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node): all nodes that roots(root) reach along edges(src, dst), the root included; a join a step, until no
-    step adds any. Each front is checkpointed, so that no step computes those before it again."""
+    step adds any. Each front is checkpointed, so that no step computes those before it again; fronts are joined where they
+    lie, as a broadcast a step would go through the driver."""
     seen = front = roots.select("root", F.col("root").alias("node")).distinct()
     with checkpoints(roots.sparkSession):
         while not front.isEmpty():
-            front = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-            front = front.join(seen, ["root", "node"], "left_anti").checkpoint()
+            front = front.hint("merge").join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
+            front = front.hint("merge").join(seen, ["root", "node"], "left_anti").checkpoint()
             seen = seen.unionByName(front)
     return seen
 
