@@ -1,64 +1,100 @@
 """Messages of one set that resemble one of another: the ratio of matching blocks, tried only on pairs that can reach it.
 
-The ratio of two texts is 2 * m / (a + b), a and b their lengths and m the characters in matching blocks. Blocks are split by
-characters that don't match, of which there are u = a + b - 2 * m, so at most u + 1 blocks lose a pair of neighbours each: the
-texts share m - u - 1 of these pairs at least. Above a limit of 2 / 3 that is a share of their lengths, and the pairs of
-characters become tokens of a join by prefixes.
+The ratio of two texts is 2 * m / (a + b), a and b their lengths and m the characters in matching blocks. Both texts have these m
+characters. Blocks are split by characters that don't match, of which there are u = a + b - 2 * m, so at most u + 1 blocks
+lose a pair of neighbours each: the texts share m - u - 1 of these pairs at least, which says something above a limit of 2 / 3.
+Both are bounds on counts, and counts of hashed characters and pairs are no less. Texts of one key meet in blocks, so that
+each is moved once, and what is made of it stays in the task.
 """
 
 from __future__ import annotations
 
-import math
+import difflib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fuzzy
-from ..sources.documents import staged
-from . import setjoin
+#: Texts of a key and side that meet others at once; of keys with more, each block of one side meets each of the other.
+BLOCK = 256
+#: Characters and pairs of them are counted by so many hashes.
+CHARACTERS, PAIRS = 64, 512
 
 
-def _short(limit: float) -> int:
-    """The length up to which a text may resemble one without sharing a pair of characters with it: that of the longest
-    text of which no pair is asked for, or of its longest partner."""
-    return math.floor((2 - limit) / (2 * (1.5 * limit - 1)) * (2 - limit) / limit + 1e-9)
+def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths, counts of hashed characters, counts of hashed pairs) of texts."""
+    n = np.array([len(t) for t in texts])
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), n)
+    pair = ((c[:-1] * 40503 + c[1:]) * 2654435761 >> 12) % PAIRS
+    inner = owner[1:] == owner[:-1]
+    count = lambda at, own, size: np.bincount(own * size + at, minlength=len(texts) * size).reshape(-1, size).astype(np.int32)
+    return n, count(c % CHARACTERS, owner, CHARACTERS), count(pair[inner], owner[1:][inner], PAIRS)
 
 
-def _shared(limit: float, total: Column) -> Column:
-    """Pairs of characters that two texts of this total length share at least."""
-    return F.ceil((1.5 * limit - 1) * total - 1 - 1e-9)
+def candidates(left: list[str], right: list[str], limit: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(j, places in left) for each text of right: those whose ratio with it may be above the limit."""
+    (la, ca, pa_), (lb, cb, pb) = _counts(left), _counts(right)
+    for j in range(len(right)):
+        total = la + lb[j]
+        at = np.flatnonzero(2 * np.minimum(la, lb[j]) > limit * total - 1e-9)
+        at = at[2 * np.minimum(ca[at], cb[j]).sum(1) > limit * total[at] - 1e-9]
+        yield j, at[np.minimum(pa_[at], pb[j]).sum(1) >= (1.5 * limit - 1) * total[at] - 1 - 1e-9]
 
 
-def _grams(texts: DataFrame) -> DataFrame:
-    """(id, key, n, toks): hashes of the numbered pairs of characters of texts(id, key, text), rare ones first; all short texts
-    share one more token, before all others."""
-    at = F.sequence(F.lit(1), F.length("text") - 1)
-    pairs = texts.where("length(text) > 1").select("id", "key", F.explode(F.transform(at, lambda i: F.substr("text", i, F.lit(2)))).alias("g"))
-    counted = pairs.groupBy("id", "key", "g").agg(F.count("*").alias("c"))
-    rows = counted.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("c").cast("int")))).select("id", "key", F.xxhash64("g", "k").alias("t"))
-    return setjoin.ordered_rows(rows, ["id", "key"])
+def resembling(left: list[str], right: list[str], limit: float) -> list[tuple[str, str]]:
+    """The pairs of texts whose ratio is above the limit."""
+    out, m = [], difflib.SequenceMatcher()
+    for j, at in candidates(left, right, limit):
+        b = right[j]
+        if len(at):
+            m.set_seq2(b)  # what difflib keeps of it serves all partners
+        for i in at.tolist():
+            m.set_seq1(left[i])
+            if left[i] == b or (m.quick_ratio() > limit and m.ratio() > limit):
+                out.append((left[i], b))
+    return out
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, limit: float = 0.8) -> DataFrame:
-    """(key, a, b): texts of left(key, text) and of right(key, text) with one key whose ratio is above the limit (over 2 / 3).
+    """(key, a, b): texts of left(key, text) and of right(key, text) with one key whose ratio is above the limit.
     Nulls and empty texts resemble nothing; repeated texts count once."""
     sides = {"a": left, "b": right}
-    rows = {s: df.select("key", "text").where("text <> ''").distinct().withColumn("id", F.xxhash64("key", "text")) for s, df in sides.items()}
-    both = staged(rows["a"].withColumn("side", F.lit("a")).unionByName(rows["b"].withColumn("side", F.lit("b"))))
-    grams = staged(_grams(both.select("id", "key", "text").distinct()))
-    texts = both.join(grams.drop("key"), "id", "left").withColumn("len", F.length("text"))
-    # A partner is no shorter than limit / (2 - limit) of this text, so both together no less than 2 / (2 - limit) of it.
-    least = _shared(limit, F.col("len") * (2 / (2 - limit)))
-    first = F.slice("toks", 1, F.greatest(F.lit(0), F.col("n") - F.greatest(least, F.lit(1)) + 1).cast("int"))
-    short = F.when(F.col("len") <= _short(limit), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    keys = texts.select("side", "key", "id", "len", F.explode(F.concat(F.coalesce(first, F.array().cast("array<bigint>")), short)).alias("t"))
-    side = lambda s: keys.where(F.col("side") == s).select("key", "t", F.col("id").alias(f"id_{s}"), F.col("len").alias(f"len_{s}"))
-    total = F.col("len_a") + F.col("len_b")
-    pairs = side("a").join(side("b"), ["key", "t"]).where(2 * F.least("len_a", "len_b") > limit * total).select("key", "id_a", "id_b", "len_a", "len_b").distinct()
-    held = lambda s: texts.where(F.col("side") == s).select(F.col("id").alias(f"id_{s}"), F.col("text").alias(s), F.coalesce("toks", F.array().cast("array<bigint>")).alias(f"toks_{s}"))
-    pairs = pairs.join(held("a"), "id_a").join(held("b"), "id_b")
-    pairs = pairs.where(F.size(F.array_intersect("toks_a", "toks_b")) >= _shared(limit, total)).select("key", "a", "b")
-    return pairs.where((F.col("a") == F.col("b")) | fuzzy.similar("a", "b", limit))
+    rows = [df.select(F.lit(s).alias("side"), "key", "text").where("key is not null and text <> ''").distinct() for s, df in sides.items()]
+    both = rows[0].unionByName(rows[1])
+    # Of each key the number of blocks of either side; a key that one side lacks has no pairs.
+    blocks = lambda s: F.ceil(F.count_if(F.col("side") == s) / BLOCK).cast("int")
+    many = both.groupBy(F.col("key").alias("of_key")).agg(blocks("a").alias("na"), blocks("b").alias("nb")).where("na > 0 and nb > 0")
+    both = both.join(many, F.col("key") == F.col("of_key"))
+    of_a, h = F.col("side") == "a", F.xxhash64("text")
+    own, others = F.pmod(h, F.when(of_a, F.col("na")).otherwise(F.col("nb"))).cast("int"), F.when(of_a, F.col("nb")).otherwise(F.col("na"))
+    both = both.select("key", "side", "text", of_a.alias("of_a"), own.alias("own"), F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
+    ca, cb = (F.when(of_a == (s == "a"), F.col("own")).otherwise(F.col("other")) for s in sides)
+    both = both.select("key", ca.alias("ca"), cb.alias("cb"), "of_a", "text").repartition("key", "ca", "cb").sortWithinPartitions("key", "ca", "cb")
+    schema = f"key {dict(both.dtypes)['key']}, a string, b string"
+
+    def run(batches):
+        unit, texts = None, {True: [], False: []}
+
+        def found():
+            if unit is None or not (texts[True] and texts[False]):
+                return
+            pairs = resembling(texts[True], texts[False], limit)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([unit[0]] * len(pairs), kind), *[pa.array(x, pa.string()) for x in zip(*pairs, strict=True)]], ["key", "a", "b"])
+
+        for batch in batches:
+            kind = batch.schema.field("key").type
+            for key, x, y, of_a, text in zip(*[batch.column(c).to_pylist() for c in ("key", "ca", "cb", "of_a", "text")], strict=True):
+                if (key, x, y) != unit:
+                    yield from found()
+                    unit, texts = (key, x, y), {True: [], False: []}
+                texts[of_a].append(text)
+        yield from found()
+
+    return both.mapInArrow(run, schema)
 
 
 def similar_keys(left: DataFrame, right: DataFrame, limit: float = 0.8) -> DataFrame:
