@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.documents import staged
+from .bm25 import exploded
 
 #: So many of the most frequent tokens are told apart by their frequency; all others stand before them, by hash. The number
 #: bounds what is broadcast, and is a matter of speed only.
@@ -27,7 +28,7 @@ BLOCK = 3 << 20
 def ordered(sets: DataFrame, keep: list[str], tokens: str = "tokens", frequent: DataFrame | None = None) -> DataFrame:
     """The columns of keep, with n and toks: hashes of the distinct tokens, rare ones first; frequent ones by their rank, as
     small numbers take little room. keep tells the sets apart; empty and null sets have no row."""
-    rows = sets.select(*keep, F.explode(F.array_distinct(tokens)).alias("t")).select(*keep, F.xxhash64("t").alias("t"))
+    rows = exploded(sets, keep, F.array_distinct(tokens), "t").select(*keep, F.xxhash64("t").alias("t"))
     return ordered_rows(rows, keep, frequent)
 
 
@@ -186,7 +187,7 @@ def best_containers(queries: DataFrame, docs: DataFrame, first: int = 4) -> Data
     The document that holds most of a query's `first` rarest tokens gives a bound b. Any that holds b or more tokens has one
     of the |q| - b + 1 rarest, so only the lists of these are followed; what is found there is compared with the whole set.
     """
-    rows = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("t")).select("doc_id", F.xxhash64("t").alias("t"))
+    rows = exploded(docs, ["doc_id"], F.array_distinct("tokens"), "t").select("doc_id", F.xxhash64("t").alias("t"))
     held = staged(rows)
     asked = queries.select(F.explode(F.array_distinct("tokens")).alias("t")).select(F.xxhash64("t").alias("t")).distinct()
     df = staged(held.join(asked, "t", "left_semi").groupBy("t").agg(F.count("*").alias("df")))
