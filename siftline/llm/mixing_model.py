@@ -25,8 +25,8 @@ LOG10 = float(np.log(10.0))
 
 @dataclass(frozen=True)
 class MixModel:
-    """classes: kinds of text, told apart by their bytes, found on about class_sample of the training documents that have
-    200 characters or more. dictionary: words seen twice or more in training have a symbol, at most so many, the most
+    """classes: kinds of text, told apart by their bytes: means over all training documents, by class_rounds rounds of k-means
+    that start from about class_sample of those that have 200 characters or more. dictionary: words seen twice or more in training have a symbol, at most so many, the most
     frequent ones; all others are spelt. Each context has four slots of counts a training token, a power of two between
     2^least_bits and 2^slot_bits: beyond that (with 22, a million tokens) contexts of one slot share its counts, and the
     weights learn how far to trust them. Rows are dealt by a hash to tasks of about task_tokens
@@ -35,6 +35,7 @@ class MixModel:
 
     classes: int = 8
     class_sample: int = 2000
+    class_rounds: int = 3
     dictionary: int = 1 << 20
     least_bits: int = 12
     slot_bits: int = 22
@@ -52,6 +53,8 @@ def byte_profile(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     pair = raw.astype(np.int64)
     pair[1:] = (pair[1:] * 31 + pair[:-1] * 257) % PROFILE
+    begin = offsets[:-1][np.diff(offsets) > 0]
+    pair[begin] = raw[begin]  # nothing stands before a text, whatever text that is in these bytes
     owner = np.repeat(np.arange(n), np.diff(offsets))
     h = np.bincount(owner * PROFILE + pair, minlength=n * PROFILE).reshape(n, PROFILE).astype(np.float32)
     return np.sqrt(h / np.maximum(1, h.sum(1, keepdims=True)))
@@ -402,7 +405,7 @@ class LanguageModel:
         return out / LOG10
 
 
-def _sample_classes(docs: DataFrame, m: MixModel) -> np.ndarray:
+def _first_classes(docs: DataFrame, m: MixModel) -> np.ndarray:
     cut = min(1.0, m.class_sample / max(1, docs.count()))
     picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("class")), F.lit(1 << 20)) < int(cut * (1 << 20)) + 1).select("text").where("length(text) >= 200")
 
@@ -415,6 +418,33 @@ def _sample_classes(docs: DataFrame, m: MixModel) -> np.ndarray:
     return fit_classes(np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, PROFILE), m.classes)
 
 
+def classes_of(docs: DataFrame, m: MixModel) -> np.ndarray:
+    """Centres of the classes of docs(doc_id, text): k-means starts from some texts, then each round assigns every text that
+    is not empty and takes the means of all. A task adds up what it reads, as integers, so the order of rows does not count."""
+    centres = _first_classes(docs, m)
+    for _ in range(m.class_rounds):
+
+        def run(batches, centres=centres):
+            sums, count = np.zeros((len(centres), PROFILE), np.int64), np.zeros(len(centres), np.int64)
+            for batch in batches:
+                for _, raw, offsets in text_pieces(batch.column("text")):
+                    x = byte_profile(lower(raw), offsets)[np.diff(offsets) > 0]
+                    own = nearest_class(x, centres)
+                    for k in np.unique(own):
+                        sums[k] += np.rint(x[own == k].astype(np.float64) * (1 << 30)).astype(np.int64).sum(0)
+                    count += np.bincount(own, minlength=len(count))
+            rows = np.column_stack((count, sums))  # the number of texts stands before the sums
+            kind, at = np.nonzero(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(rows[kind, at])], ["class", "at", "n"])
+
+        total = np.zeros((len(centres), PROFILE + 1))
+        for r in docs.select("text").mapInArrow(run, "class int, at int, n long").groupBy("class", "at").agg(F.sum("n").alias("n")).collect():  # classes * 513 rows
+            total[r["class"], r["at"]] = r["n"]
+        some = total[:, :1] > 0
+        centres = np.where(some, total[:, 1:] / np.maximum(1, total[:, :1]) / (1 << 30), centres).astype(np.float32)
+    return centres
+
+
 def _count_words(docs: DataFrame, centres: np.ndarray, flush: int = 16 << 20) -> DataFrame:
     """(h, class, n): tokens of all documents by hash and class of text; class -1: bytes, h being the byte."""
 
@@ -580,7 +610,7 @@ def score(docs: DataFrame, training: Column, m: MixModel = MixModel()) -> DataFr
     kind_of_id = dict(docs.dtypes)["doc_id"]
     d = only_columns(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
     train = d.where(F.coalesce(training, F.lit(False)))
-    centres = _sample_classes(train, m)
+    centres = classes_of(train, m)
     counts = materialize(_count_words(train, centres))
     by_word = materialize(counts.where("class >= 0").groupBy("h").agg(F.sum("n").alias("n"), F.max_by("class", F.struct("n", "class")).alias("kind")))
     end = F.when(F.col("h") == F.lit(int(END_HASH.astype(np.int64))), F.col("n")).otherwise(0)
