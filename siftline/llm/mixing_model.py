@@ -17,10 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, only_columns
+from .common import materialize, only_columns, writing
 from .tokens import U, lower, mix, text_pieces, word_hashes
 
 LOG10 = float(np.log(10.0))
+#: Bytes of texts at once: their pairs and words take 50 times as many, beside the tables of counts.
+STRETCH = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -375,7 +377,7 @@ class LanguageModel:
     repeats: np.ndarray = field(default_factory=lambda: np.tile([1.0, 2.0], (RUNS, 1)))
 
     def texts(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, Words]]:
-        for first, raw, offsets in text_pieces(column):
+        for first, raw, offsets in text_pieces(column, STRETCH):
             low = lower(raw)
             kind = nearest_class(byte_profile(low, offsets), self.centres)
             yield first, low, offsets, kind, Words.of(low, offsets, kind, self.index)
@@ -411,10 +413,11 @@ def _first_classes(docs: DataFrame, m: MixModel) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            for _, raw, offsets in text_pieces(batch.column("text")):
+            for _, raw, offsets in text_pieces(batch.column("text"), STRETCH):
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in byte_profile(lower(raw), offsets)], pa.binary())], ["x"])
 
-    rows = picked.mapInArrow(run, "x binary").orderBy("x").limit(2 * m.class_sample).collect()
+    with writing(docs.sparkSession):
+        rows = picked.mapInArrow(run, "x binary").orderBy("x").limit(2 * m.class_sample).collect()
     return fit_classes(np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, PROFILE), m.classes)
 
 
@@ -427,7 +430,7 @@ def classes_of(docs: DataFrame, m: MixModel) -> np.ndarray:
         def run(batches, centres=centres):
             sums, count = np.zeros((len(centres), PROFILE), np.int64), np.zeros(len(centres), np.int64)
             for batch in batches:
-                for _, raw, offsets in text_pieces(batch.column("text")):
+                for _, raw, offsets in text_pieces(batch.column("text"), STRETCH):
                     x = byte_profile(lower(raw), offsets)[np.diff(offsets) > 0]
                     own = nearest_class(x, centres)
                     for k in np.unique(own):
@@ -438,7 +441,9 @@ def classes_of(docs: DataFrame, m: MixModel) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(rows[kind, at])], ["class", "at", "n"])
 
         total = np.zeros((len(centres), PROFILE + 1))
-        for r in docs.select("text").mapInArrow(run, "class int, at int, n long").groupBy("class", "at").agg(F.sum("n").alias("n")).collect():  # classes * 513 rows
+        with writing(docs.sparkSession):
+            rows = docs.select("text").mapInArrow(run, "class int, at int, n long").groupBy("class", "at").agg(F.sum("n").alias("n")).collect()  # classes * 513 rows
+        for r in rows:
             total[r["class"], r["at"]] = r["n"]
         some = total[:, :1] > 0
         centres = np.where(some, total[:, 1:] / np.maximum(1, total[:, :1]) / (1 << 30), centres).astype(np.float32)
@@ -461,7 +466,7 @@ def _count_words(docs: DataFrame, centres: np.ndarray, flush: int = 16 << 20) ->
             return row(h[first], kind[first], n)
 
         for batch in batches:
-            for _, raw, offsets in text_pieces(batch.column("text")):
+            for _, raw, offsets in text_pieces(batch.column("text"), STRETCH):
                 low = lower(raw)
                 kind = nearest_class(byte_profile(low, offsets), centres)
                 h, _, _, rows = word_hashes(low, offsets, fold=False)
@@ -494,6 +499,11 @@ def _least_count(by_word: DataFrame, limit: int) -> int:
     return least
 
 
+def _iterated(df: DataFrame) -> Iterator:
+    with writing(df.sparkSession, clean=False):  # partitions are read one by one
+        yield from df.toLocalIterator()
+
+
 _BLOCK = 1 << 16  # slots that are summed together
 _NUMBERS = -1
 
@@ -569,7 +579,7 @@ def _fit(docs: DataFrame, fresh: LanguageModel, m: MixModel, tokens: int) -> Lan
     for x in mixers:
         x.states = [np.zeros(1 << b, np.uint16) for b in x.bits]
     states = fresh.words.states + fresh.bytes.states
-    for r in summed.toLocalIterator():  # a model of bounded size
+    for r in _iterated(summed):  # a model of bounded size
         data = zlib.decompress(r["data"])
         if r["block"] != _NUMBERS:
             k, i = r["block"] >> 24, r["block"] & 0xFFFFFF

@@ -3,11 +3,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +261,21 @@ def test_symbol_tree_has_short_paths_for_frequent_symbols():
         assert (share * t.depth).sum() <= -(share * np.log2(share)).sum() + 1
 
 
+
+def test_mixing_takes_texts_in_small_stretches():
+    """A worker's arrays stay small beside its counts: before, each megabyte of text took tens of MB."""
+    text = pa.array([" ".join(f"word{(i * 7 + j) % 5000}" for j in range(300)) for i in range(2000)])
+    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 100).astype(np.uint64))
+    lm = mixing_model.LanguageModel(np.zeros((2, mixing_model.PROFILE), np.float32), mixing_model.WordIndex(keys), None, None, np.zeros(100), 4096)
+    tracemalloc.start()
+    try:
+        rows = sum(len(offsets) - 1 for _, _, offsets, _, _ in lm.texts(text))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 2000 and peak < 48 << 20
+
+
 def test_word_index_finds_all_and_only_its_keys():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000, np.int64).astype(np.uint64)
     index = mixing_model.WordIndex(keys[:4000])
