@@ -548,6 +548,52 @@ def test_overlapping_sets_equal_brute_force():
         assert len(got) == len(set(got)) and set(got) == want and want
 
 
+
+def surrounded(r, left, middle, right):
+    """Surroundings with a seed in the middle of left and right words; the seed is the first four of middle."""
+    words = np.concatenate((r.integers(1 << 60, 1 << 63, left), middle, r.integers(1 << 60, 1 << 63, right))).astype(np.uint64)
+    return substrings.surroundings_of(words, left, substrings.Passages())
+
+
+def test_no_passage_is_ruled_out_by_its_surroundings():
+    r, p, a, b = np.random.default_rng(5), substrings.Passages(), [], []
+    for _ in range(400):
+        n = int(r.integers(50, 100))
+        x = r.integers(1 << 60, 1 << 63, n)
+        y, wrong = list(x), 0
+        while wrong < (n - 1) // 5:  # columns that disagree
+            at, kind = int(r.integers(4, len(y))), r.integers(3)
+            if kind == 0 and len(x) + wrong < n + wrong:
+                y[at] = r.integers(1 << 60, 1 << 63)
+            elif kind == 1 and len(y) > 50:
+                del y[at]
+            else:
+                y[at] = r.integers(1 << 60, 1 << 63)
+            wrong += 1
+        a.append(surrounded(r, int(r.integers(0, 120)), x, int(r.integers(0, 120))))
+        b.append(surrounded(r, int(r.integers(0, 120)), np.array(y), int(r.integers(0, 120))))
+    a, b = np.array(a), np.array(b)
+    assert substrings.may_agree(a, b, p)[0].all() and substrings.may_agree(b, a, p)[0].all()
+    may, sure = substrings.may_agree(a, np.roll(b, 1, 0), p)
+    assert not may.any() and not sure.any()
+
+
+def test_repeated_word_and_family_meet_once():
+    """A word 30 times in each of many texts is no passage; of a family of copies each member meets its first one. Before, all
+    pairs of either met."""
+    r, p, n = np.random.default_rng(6), substrings.Passages(), 60
+    every = np.triu_indices(n, 1)
+    pairs = lambda near: set(substrings.represented(iter([every]), near, p, step=100))
+    assert not pairs(np.array([surrounded(r, 100, np.full(30, 1 << 62), 100) for _ in range(n)]))
+    x = r.integers(1 << 60, 1 << 63, 60)
+    family = np.array([surrounded(r, 100, x, 100) for _ in range(n)])
+    assert pairs(family) == {(0, j) for j in range(1, n)}
+    family[7] = surrounded(r, 100, np.concatenate((x[:30], r.integers(1 << 60, 1 << 63, 3), x[30:])), 100)
+    assert pairs(family) == {(0, j) for j in range(1, n)}
+    family[7] = surrounded(r, 100, np.concatenate((x[:20], x[22:40], x[43:])), 100)  # two gaps: meets all
+    assert pairs(family) == {(0, j) for j in range(1, n)} | {(min(7, j), max(7, j)) for j in range(n) if j != 7}
+
+
 def test_decoys_of_30_words_hide_no_passage_of_100(spark):
     r = random.Random(11)
     said, rows = words(100, r), []
