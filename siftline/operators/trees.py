@@ -176,10 +176,10 @@ def most_similar(pairs: DataFrame, k: int) -> DataFrame:
     return every.withColumn("r", nth).where(F.col("r") <= k)
 
 
-def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node): all nodes that roots(root) reach along edges(src, dst), the root included; a join a step, until no
-    step adds any. Each front is checkpointed, so that no step computes those before it again; fronts are joined where they
-    lie, as a broadcast a step would go through the driver."""
+def _closure_by_steps(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """closure by a join a step, until no step adds any. Each front is checkpointed, so that no step computes those before it
+    again; fronts are joined where they lie, as a broadcast a step would go through the driver. All that is reached so far is
+    moved by each step."""
     seen = front = roots.select("root", F.col("root").alias("node")).distinct()
     with checkpoints(roots.sparkSession):
         while not front.isEmpty():
@@ -189,6 +189,64 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return seen
 
 
+#: Sets of nodes are cut, by a hash, into arrays of so many nodes at most.
+SET = 1 << 22
+
+
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node): all nodes that roots(root) reach along edges(src, dst), the root included.
+
+    Where most nodes that are reached are roots, each node's set is made up once, from the finished sets of those that it leads
+    to: as many rounds as the longest way has edges, and a set moves once an edge. Nodes on cycles or before them wait in the
+    end; among these alone, and where roots are few, sets grow by steps. Nothing is broadcast.
+    """
+    schema = roots.select("root", "root").union(edges.select("src", "dst").select("dst", "dst")).schema
+    kind = schema[1].dataType
+    e = staged(edges.where("src is not null and not src <=> dst").select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst")).distinct())
+    links, merge = e.where("dst is not null"), lambda df: df.hint("merge")
+    known = front = staged(roots.where("root is not null").select(F.col("root").cast(kind).alias("node")).distinct())
+    asked = n = known.count()
+    while n and known.count() <= 2 * asked:
+        front = staged(merge(front).join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(merge(known), "node", "left_anti"))
+        n = front.count()
+        known = known.unionByName(front)
+    if n:
+        return _closure_by_steps(edges, roots)
+
+    parts = -(-known.count() // SET)
+    part = F.pmod(F.xxhash64("member"), F.lit(parts)).cast("int").alias("part")
+    single = lambda df: df.select("node", part, F.array("member").alias("members"))
+    nulls = e.where("dst is null").select(F.col("src").alias("node"), F.col("dst").alias("member"))
+    base = single(known.select("node", F.col("node").alias("member"))).unionByName(single(nulls))
+    whole = lambda df: df.groupBy("node", "part").agg(F.array_distinct(F.flatten(F.collect_list("members"))).alias("members"))
+
+    def behind(sources: DataFrame, done: DataFrame) -> DataFrame:
+        """The nodes of sources(node) and the sets of what they lead to."""
+        inner = merge(links.withColumnRenamed("src", "node")).join(merge(sources), "node", "left_semi")
+        sets = merge(inner).join(done.select(F.col("node").alias("dst"), "part", "members"), "dst").select("node", "part", "members")
+        return whole(sets.unionByName(merge(base).join(merge(sources), "node", "left_semi")))
+
+    waiting = staged(merge(links).join(known.select(F.col("node").alias("src")), "src", "left_semi"))
+    ready = staged(merge(known).join(waiting.select(F.col("src").alias("node")), "node", "left_anti"))
+    done = staged(whole(merge(base).join(merge(ready), "node", "left_semi")))
+    while not ready.isEmpty():
+        left = staged(merge(waiting).join(ready.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        sources = waiting.select(F.col("src").alias("node")).distinct()
+        ready = staged(merge(sources).join(left.select(F.col("src").alias("node")), "node", "left_anti"))
+        waiting = left
+        if not ready.isEmpty():
+            done = done.unionByName(staged(behind(ready, done)))
+    if not waiting.isEmpty():
+        tied = staged(waiting.select(F.col("src").alias("node")).distinct())
+        own = behind(tied, done).select(F.col("node").alias("inner"), "part", "members")
+        among = _closure_by_steps(waiting, tied.select(F.col("node").alias("root"))).select(F.col("root").alias("node"), F.col("node").alias("inner"))
+        done = done.unionByName(staged(whole(merge(among).join(own, "inner").select("node", "part", "members"))))
+    if known.count() > asked:
+        done = merge(done).join(roots.select(F.col("root").cast(kind).alias("node")).distinct(), "node", "left_semi")
+    out = done.select(F.col("node").cast(schema[0].dataType).alias("root"), F.explode("members").alias("node"))
+    return out.unionByName(roots.where("root is null").select("root", F.col("root").cast(kind).alias("node")).distinct())
+
+
 def tree_rows(trees: DataFrame) -> DataFrame:
     """(root, path, depth, name) of trees(root, tree), a JSON text of name and children, in the form of unfold."""
 
