@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -157,25 +157,43 @@ def likeness_bound(a: Column, b: Column) -> Column:
 ROUNDED = 1e-5
 
 
-def most_similar(pairs: DataFrame, k: int) -> DataFrame:
+def most_similar(pairs: DataFrame, k: int, treed=None) -> DataFrame:
     """(root_a, root_b, sim, r): for each root_a of pairs(root_a, root_b, tree_a, tree_b) its k most similar ones, ties by
     root_b.
 
     The quadratic program runs for the k pairs of the largest bound first; the least of what they reach then leaves out all
-    pairs whose bound is lower. (root_a, root_b) is unique.
+    pairs whose bound is lower. (root_a, root_b) is unique. Only bounds are written on the way. treed: gives the trees of some
+    of the pairs, which come without.
     """
-    bounded = staged(pairs.withColumn("bound", likeness_bound(F.col("tree_a"), F.col("tree_b"))))
-    by_bound = F.row_number().over(Window.partitionBy("root_a").orderBy(F.desc("bound"), "root_b"))
-    ranked = bounded.select("root_a", "root_b", "bound").withColumn("r", by_bound)
-    first = ranked.where(F.col("r") <= k).select("root_a", "root_b")
-    tried = staged(similarities(bounded.join(first, ["root_a", "root_b"], "left_semi")))
+    treed = treed or (lambda some: pairs if some is pairs else pairs.join(some, ["root_a", "root_b"], "left_semi"))
+    bounded = staged(treed(pairs).select("root_a", "root_b", likeness_bound(F.col("tree_a"), F.col("tree_b")).alias("bound")))
+    ranked = bounded.withColumn("r", F.row_number().over(Window.partitionBy("root_a").orderBy(F.desc("bound"), "root_b")))
+    tried = staged(similarities(treed(ranked.where(F.col("r") <= k).select("root_a", "root_b"))))
     floor = tried.groupBy("root_a").agg(F.min("sim").alias("floor"))
     more = ranked.where(F.col("r") > k).join(floor, "root_a").where(F.col("bound") >= F.col("floor") - ROUNDED).select("root_a", "root_b")
-    every = tried.unionByName(similarities(bounded.join(more, ["root_a", "root_b"], "left_semi")))
+    every = tried.unionByName(similarities(treed(more)))
     nth = F.row_number().over(Window.partitionBy("root_a").orderBy(F.desc("sim"), "root_b"))
     return every.withColumn("r", nth).where(F.col("r") <= k)
 
 
+#: Pairs whose trees are moved at once.
+AT_ONCE = 1 << 22
+
+
+def most_similar_of(pairs: DataFrame, trees: DataFrame, k: int) -> DataFrame:
+    """most_similar of pairs(root_a, root_b) of trees(root, tree): a slice of the roots_a after the other, as their pairs are
+    apart, so that the trees beside each other on disk are those of a slice, whatever the number of pairs."""
+    pairs = staged(pairs.select("root_a", "root_b"))
+    left, right = (trees.select(F.col("root").alias(f"root_{x}"), F.col("tree").alias(f"tree_{x}")) for x in "ab")
+    treed = lambda some: some.join(left, "root_a").join(right, "root_b").select("root_a", "root_b", "tree_a", "tree_b")
+    slices = max(1, -(-pairs.count() // AT_ONCE))
+    found = []
+    for i in range(slices):
+        some = pairs.where(F.pmod(F.xxhash64("root_a"), F.lit(slices)) == i)
+        found.append(staged(most_similar(some, k, treed)))
+    return reduce(DataFrame.unionByName, found)
+
+
 def _closure_by_steps(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """closure by a join a step, until no step adds any. Each front is checkpointed, so that no step computes those before it
     again; fronts are joined where they lie, as a broadcast a step would go through the driver. All that is reached so far is

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import generation, lemmas, structure, trees
+from ..sources.documents import staged
 from .registry import _TOK, _weighted, query, table
 
 
@@ -145,7 +146,6 @@ def lemma_frequency(spark, sf_dir):
 @query()
 def most_similar_trees(spark, sf_dir):
     """Of the twelve next roots of each the two whose trees are most similar."""
-    g = trees.gathered(_weighted(spark, sf_dir, 3))
-    a, b = g.select(F.col("root").alias("root_a"), F.col("tree").alias("tree_a")), g.select(F.col("root").alias("root_b"), F.col("tree").alias("tree_b"))
-    a = a.withColumn("next", F.explode(F.sequence(F.col("root_a") + 1, F.col("root_a") + 12)))
-    return trees.most_similar(a.join(b, F.col("next") == F.col("root_b")).drop("next"), 2)
+    g = staged(trees.gathered(_weighted(spark, sf_dir, 3)))
+    pairs = g.select(F.col("root").alias("root_a"), F.explode(F.sequence(F.col("root") + 1, F.col("root") + 12)).alias("root_b"))
+    return trees.most_similar_of(pairs.join(g.select(F.col("root").alias("root_b")), "root_b", "left_semi"), g, 2)
